@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretoken import PieceMemo, piece_finder, split_special
+from tidemark.llm.pretoken import PieceMemo, blocks, piece_finder, split_special
 
 _NEVER = 1 << 40
 
@@ -141,18 +141,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _blocks(values, weight, most: int = 4 << 20):
-    """Consecutive index ranges whose weights add up to about ``most``."""
-    start = total = 0
-    for i, v in enumerate(values):
-        total += weight(v)
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(values):
-        yield start, len(values)
-
-
 def _append(df: DataFrame, column: str, name: str, kind: str, make) -> DataFrame:
     """``df`` with one more column made from ``column`` by blocks of rows."""
     if name in df.columns:
@@ -163,9 +151,9 @@ def _append(df: DataFrame, column: str, name: str, kind: str, make) -> DataFrame
     def run(batches):
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(column))
-            for a, b in _blocks(values, lambda v: len(v.as_py() or ""), 4 << 20):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, make(values.slice(a, b - a).to_pylist())], [*part.schema.names, name])
+            for a, n in blocks(values):
+                part = batch.slice(a, n)
+                yield pa.RecordBatch.from_arrays([*part.columns, make(values.slice(a, n).to_pylist())], [*part.schema.names, name])
 
     return df.mapInArrow(run, types)
 

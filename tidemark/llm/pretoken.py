@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Fixed value: the split pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -43,3 +47,12 @@ class PieceMemo(dict):
             new = list(set(pieces))
         if new:
             self.update(zip(new, self.encode_many(new), strict=True))
+
+
+def blocks(column: pa.Array, most: int = 4 << 20):
+    """(start, length) of consecutive rows holding about ``most`` bytes together, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes.astype("i8")) // most, prepend=0)) + 1
+    edges = np.unique(np.concatenate([[0], cuts, [len(sizes)]]))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(a), int(b - a)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, tokenfile, urlfilter, warc
+from tidemark.llm.common import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -14,13 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_spans(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), new_path(spark, "tokens"), eos=2)
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
+def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.BLOCK, urlfilter.ALLOW)
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_warc_archive": op2_warc_archive,
+    "op8_url_cascade": op8_url_cascade,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables in reasonable time.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_cascade": urlfilter.ORACLE,
+}
