@@ -36,7 +36,7 @@ def split_special(text: str, special: re.Pattern | None) -> list[str]:
 class PieceMemo(dict):
     """piece -> packed ids.  Emptied when it holds ``most`` pieces, so its memory stays bounded."""
 
-    def __init__(self, encode_many, most: int = 900_000):
+    def __init__(self, encode_many, most: int = 600_000):
         super().__init__()
         self.encode_many, self.most = encode_many, most
 

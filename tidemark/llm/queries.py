@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, tokenfile, urlfilter, warc
+from tidemark.llm import bpe, html, quality, tokenfile, toxicity, urlfilter, warc
 from tidemark.llm.common import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,10 +23,23 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
 
 
+def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.BLOCK, urlfilter.ALLOW)
 
 
+def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -34,7 +47,10 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_warc_archive": op2_warc_archive,
+    "op3_toxicity_fm": op3_toxicity_fm,
+    "op5_html_tag_paths": op5_html_tag_paths,
     "op8_url_cascade": op8_url_cascade,
+    "op9_adaptive_quality": op9_adaptive_quality,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 
