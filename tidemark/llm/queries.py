@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, quality, tokenfile, toxicity, urlfilter, warc
+from tidemark.llm import bpe, decontam, dedup, html, quality, tokenfile, toxicity, urlfilter, warc
 from tidemark.llm.common import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,10 +28,18 @@ def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.BLOCK, urlfilter.ALLOW)
 
@@ -48,7 +56,9 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_warc_archive": op2_warc_archive,
     "op3_toxicity_fm": op3_toxicity_fm,
+    "op4_decontamination": op4_decontamination,
     "op5_html_tag_paths": op5_html_tag_paths,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_url_cascade": op8_url_cascade,
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_bpe_automaton": op10_bpe_automaton,
