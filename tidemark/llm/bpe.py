@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretoken import PieceMemo, blocks, piece_finder, split_special
+from tidemark.llm.pretoken import PieceMemo, blocks, piece_finder
 
 _NEVER = 1 << 40
 
@@ -126,10 +126,7 @@ class Codec:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as packed little-endian unsigned 32-bit integers; null as the empty text."""
-        split = [[(k % 2, x if k % 2 else self.pieces(x)) for k, x in enumerate(split_special(t or "", self.special))] for t in texts]
-        self.memo.learn(p for parts in split for odd, x in parts if not odd for p in x)
-        get, added = self.memo.__getitem__, self.added
-        return [b"".join(added[x] if odd else b"".join(map(get, x)) for odd, x in parts) for parts in split]
+        return self.memo.encode(texts, self.pieces, self.special, self.added)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -172,12 +169,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return _append(df, ids, text, "string", lambda packed: pa.array([codec(path).decode(p or b"") for p in packed], pa.string()))
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Contract rows: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """Contract rows: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
     made = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
     return made.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        *(["ids"] if keep_ids else []),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

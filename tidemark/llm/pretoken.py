@@ -40,14 +40,30 @@ class PieceMemo(dict):
         super().__init__()
         self.encode_many, self.most = encode_many, most
 
-    def learn(self, pieces) -> None:
-        new = [p for p in set(pieces) if p not in self]
+    def learn(self, lists: list[list[str]]) -> None:
+        """Make sure that every piece of the lists is known."""
+        pieces = set().union(*lists)
+        new = pieces.difference(self)
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(set(pieces))
+            new = pieces
         if new:
+            new = list(new)
             self.update(zip(new, self.encode_many(new), strict=True))
 
+    def encode(self, texts: list[str | None], pieces, special: re.Pattern | None, added: dict[str, bytes]) -> list[bytes]:
+        """Packed ids of whole texts (null: none); ``special`` finds the tokens that stand for themselves."""
+        split = [split_special(t or "", special) for t in texts]
+        lists = [[pieces(x) for x in parts[::2]] for parts in split]
+        self.learn([x for parts in lists for x in parts])
+        get, out = self.__getitem__, []
+        for parts, own in zip(split, lists, strict=True):
+            ids = b"".join(map(get, own[0]))
+            for token, x in zip(parts[1::2], own[1:], strict=True):
+                ids += added[token] + b"".join(map(get, x))
+            out.append(ids)
+        return out
+
 
 def blocks(column: pa.Array, most: int = 4 << 20):
     """(start, length) of consecutive rows holding about ``most`` bytes together, one row at least."""

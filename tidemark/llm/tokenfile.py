@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import store
-from tidemark.llm.pretoken import PieceMemo, blocks, piece_finder, split_special
+from tidemark.llm.pretoken import PieceMemo, blocks, piece_finder
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -47,7 +47,24 @@ class Encoder:
         self.pieces = piece_finder(self.tokenizer.pre_tokenizer) if byte_level else None
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = {s: np.uint32(i).tobytes() for s, i in added.items()}
-        self.memo = PieceMemo(self._library)
+        self.opens = np.zeros(self.size, bool)  # tokens that begin with a space
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.opens[i] = token.startswith("Ġ")
+        self.memo = PieceMemo(self._pieces)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece.  " word" pieces are given to the library in runs: it splits them at the same spaces."""
+        runs = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        made: dict[str, bytes] = {}
+        for at in range(0, len(runs), 500):
+            some = runs[at : at + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            packed = ids.tobytes()
+            made.update(zip(some, (packed[a:b] for a, b in zip(cuts, [*cuts[1:], len(packed)], strict=True)), strict=True))
+        rest = [p for p in pieces if p not in made]
+        made.update(zip(rest, self._library(rest), strict=True))
+        return [made[p] for p in pieces]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,10 +72,7 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if self.pieces is None:
             return self._library([t or "" for t in texts])
-        split = [[(k % 2, x if k % 2 else self.pieces(x)) for k, x in enumerate(split_special(t or "", self.special))] for t in texts]
-        self.memo.learn(p for parts in split for odd, x in parts if not odd for p in x)
-        get, added = self.memo.__getitem__, self.added
-        return [b"".join(added[x] if odd else b"".join(map(get, x)) for odd, x in parts) for parts in split]
+        return self.memo.encode(texts, self.pieces, self.special, self.added)
 
 
 @lru_cache(maxsize=2)
