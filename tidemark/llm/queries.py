@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontam, dedup, html, quality, tokenfile, toxicity, urlfilter, warc
+from tidemark.llm import bpe, decontam, dedup, html, passages, quality, tokenfile, toxicity, urlfilter, warc
 from tidemark.llm.common import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_rows(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_toxicity_fm": op3_toxicity_fm,
     "op4_decontamination": op4_decontamination,
     "op5_html_tag_paths": op5_html_tag_paths,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_url_cascade": op8_url_cascade,
     "op9_adaptive_quality": op9_adaptive_quality,
