@@ -1,15 +1,22 @@
-"""The corpus pipeline: filters and encodes ``documents`` stage by stage."""
+"""The corpus pipeline: ``documents`` filtered for toxicity, near-duplicates, repeated passages and benchmark
+contamination, then encoded.  Each stage reads what the one before it wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm.common import materialize
+from tidemark.llm.stages import STAGES
+
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
+
+#: The toxicity stage is a learned model, so SQL can't express the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
