@@ -60,9 +60,10 @@ _ESCAPES = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "<"
 
 def json_quote(c: Column) -> Column:
     """A JSON string literal; HTML-relevant characters and line separators are written as escapes."""
-    usual = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), [("\\", "\\\\"), ('"', '\\"'), *_ESCAPES.items()], c)
-    rare = swap_all(usual, {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in _ESCAPES})
-    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x07\x0B\x0E-\x1F]"), rare).otherwise(usual), F.lit('"'))
+    usual = {"\\": "\\\\", '"': '\\"'} | _ESCAPES
+    rare = usual | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in _ESCAPES}
+    body = F.when(c.rlike(r"[\x00-\x07\x0B\x0E-\x1F]"), swap_all(c, rare)).when(c.rlike(r'["\\\x08-\x0D<>&\x{2028}\x{2029}]'), swap_all(c, usual)).otherwise(c)
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def rfc3339_nanos(ns: Column) -> Column:
