@@ -20,13 +20,24 @@ from pyspark.sql import functions as F
 from tidemark.llm.pretoken import blocks
 
 _TERM = re.compile(r"\w+")
-HASH_BITS = 30
+HASH_BITS, STEM = 30, 5
 
 
-def term_hashes(text: str | None) -> set[int]:
-    """Hashes of the distinct lower-case terms of a whole text."""
+def terms(text: str | None) -> set[str]:
+    """The distinct lower-case words of a whole text."""
+    return set(_TERM.findall((text or "").lower()))
+
+
+def hashes_of(word: str) -> tuple[int, ...]:
+    """Hashes of a word and, if it is longer, of its first ``STEM`` letters, which forms of a word share."""
     mask = (1 << HASH_BITS) - 1
-    return {zlib.crc32(t.encode("utf-8", "surrogatepass")) & mask for t in set(_TERM.findall((text or "").lower()))}
+    own = zlib.crc32(word.encode("utf-8", "surrogatepass")) & mask
+    return (own, zlib.crc32(f"{word[:STEM]}-".encode("utf-8", "surrogatepass")) & mask) if len(word) > STEM else (own,)
+
+
+def term_hashes(text: str | None) -> set[int]:
+    """Hashes of all terms of a whole text."""
+    return {h for w in terms(text) for h in hashes_of(w)}
 
 
 @dataclass
@@ -40,18 +51,18 @@ class Machine:
     known: dict = field(default_factory=dict, repr=False)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        mask, places, known = (1 << HASH_BITS) - 1, self.places, self.known
+        places, known = self.places, self.known
         if len(known) > 500_000:
             known.clear()
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
-            rows = set()
-            for term in set(_TERM.findall((text or "").lower())):
-                at = known.get(term)
+            rows: set[int] = set()
+            for word in terms(text):
+                at = known.get(word)
                 if at is None:
-                    at = known[term] = places.get(zlib.crc32(term.encode("utf-8", "surrogatepass")) & mask, -1)
-                if at >= 0:
-                    rows.add(at)
+                    at = known[word] = tuple(places[h] for h in hashes_of(word) if h in places)
+                if at:
+                    rows.update(at)
             if rows:
                 at = np.fromiter(sorted(rows), np.int64, len(rows))
                 v = self.v[at]
@@ -70,7 +81,7 @@ def _telling(df: np.ndarray, hits: np.ndarray, share: float) -> np.ndarray:
     return ratio >= 2 * np.log(max(m, 1) / 0.5)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 6, min_docs: int = 3, steps: int = 1500, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 6, min_docs: int = 3, steps: int = 1500, cost: float = 2.0, seed: int = 7) -> Machine:
     """Fit to lists of term hashes.  Without rows, or with one class only, the score is the (smoothed) class share."""
     n = len(rows)
     y = np.asarray(labels, np.float64)
@@ -80,30 +91,32 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 6, min_docs:
     if n == 0 or y.min() == y.max():
         return empty
     doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    terms, at, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    names, at, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     often = df >= min_docs
-    keep = np.zeros(len(terms), bool)
-    keep[often] = _telling(df[often].astype(float), np.bincount(at, y[doc], len(terms))[often], float(y.mean()))
+    keep = np.zeros(len(names), bool)
+    keep[often] = _telling(df[often].astype(float), np.bincount(at, y[doc], len(names))[often], float(y.mean()))
     if not keep.any():
         return empty
     used = keep[at]
-    col, doc, terms = (np.cumsum(keep) - 1)[at[used]], doc[used], terms[keep]
-    m = len(terms)
+    col, doc, names = (np.cumsum(keep) - 1)[at[used]], doc[used], names[keep]
+    m = len(names)
     # parameters in one vector: b, w, v; full-batch Adam on the penalised mean log loss
     x = np.concatenate([[b], np.zeros(m), np.random.default_rng(seed).normal(0, 0.05, m * factors)])
-    penalty = np.concatenate([[0], np.full(m, 1e-5), np.full(m * factors, 1e-3)])
+    penalty = np.concatenate([[0], np.full(m, 1e-5), np.full(m * factors, 5e-3)])
+    # a missed toxic text costs more than a clean one let go, up to ``cost`` times where it is rare
+    share = np.where(y > 0, min(cost, max(1.0, (1 - base) / base)), 1.0) / n
     first, second = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
         w, v = x[1 : m + 1], x[m + 1 :].reshape(m, factors)
         sums = np.stack([np.bincount(doc, v[col, f], n) for f in range(factors)], 1)
         out = x[0] + np.bincount(doc, w[col], n) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, (v * v).sum(1)[col], n))
-        r = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) / n
+        r = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) * share
         gw = np.bincount(col, r[doc], m)
         gv = np.stack([np.bincount(col, (r * sums[:, f])[doc], m) for f in range(factors)], 1) - v * gw[:, None]
         g = np.concatenate([[r.sum()], gw, gv.ravel()]) + penalty * x
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         x = x - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-    return Machine({int(t): i for i, t in enumerate(terms)}, float(x[0]), x[1 : m + 1].copy(), x[m + 1 :].reshape(m, factors).copy())
+    return Machine({int(t): i for i, t in enumerate(names)}, float(x[0]), x[1 : m + 1].copy(), x[m + 1 :].reshape(m, factors).copy())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, holdout: F.Column):
