@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from tidemark.model import LEVEL_RANKS, MAX_TRACKED_TOPIC_BYTES, OVERFLOW_TOPIC
 
-#: Unicode white space, as a character class of Java and DuckDB regular expressions.
-SPACE_CLASS = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Fixed value: Unicode white space.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def trim(c: Column) -> Column:
-    """Without Unicode white space at the ends; the plain ASCII case is decided without a regular expression."""
-    plain = (F.octet_length(c) == F.length(c)) & ~F.coalesce(F.substring(c, 1, 1).isin("\t", "\n", "\v", "\f", "\r", " ") | F.substring(c, -1, 1).isin("\t", "\n", "\v", "\f", "\r", " "), F.lit(False))
-    return F.when(plain, c).otherwise(F.regexp_replace(c, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+\z", ""))
+    """Without Unicode white space at the ends."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def first_of(*cs: Column) -> Column:

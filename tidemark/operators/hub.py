@@ -23,12 +23,14 @@ def extract(records: DataFrame, parity: str = "exact") -> DataFrame:
     if parity == "exact":
         out = records.withColumn("_m", js.metadata_udf(F.col("topic"), F.col("payload")))
         return out.select(*records.columns, "_m.trace_id", "_m.service", "_m.level")
-    v = F.when(F.col("payload").startswith("{"), F.try_parse_json("payload"))
-    kinds = {n: F.try_variant_get(v, f"$.{n}", "variant") for n in ("trace_id", "traceId", "service", "level", "severity")}
-    text = {n: F.when(F.schema_of_variant(k) == "STRING", F.try_variant_get(k, "$", "string")) for n, k in kinds.items()}
-    return records.select(
-        "*", first_of(text["trace_id"], text["traceId"]).alias("trace_id"), first_of(text["service"], F.col("topic")).alias("service"),
-        F.coalesce(F.nullif(first_of(text["level"], text["severity"]), F.lit("")), F.lit("INFO")).alias("level"),
+    # the payload is parsed once, and each member read once, before the members are put together
+    names = ("trace_id", "traceId", "service", "level", "severity")
+    found = records.withColumn("_v", F.when(F.col("payload").startswith("{"), F.try_parse_json("payload")))
+    found = found.withColumn("_m", F.struct(*(F.try_variant_get("_v", f"$.{n}", "variant").alias(f"m{i}") for i, n in enumerate(names))))
+    text = [F.when(F.schema_of_variant(F.col(f"_m.m{i}")) == "STRING", F.try_variant_get(F.col(f"_m.m{i}"), "$", "string")) for i in range(len(names))]
+    return found.select(
+        *records.columns, first_of(text[0], text[1]).alias("trace_id"), first_of(text[2], F.col("topic")).alias("service"),
+        first_of(text[3], text[4], F.lit("INFO")).alias("level"),
     )
 
 

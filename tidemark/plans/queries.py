@@ -517,6 +517,70 @@ def rfc3339_stamps(spark, d):
     return table(spark, d, "events").select("event_id", tx.rfc3339_nanos(F.col("event_id") * 1_000_000).alias("stamp"))
 
 
+def _delivery_log(spark, d) -> DataFrame:
+    """A log of what an engine did: kind and records."""
+    k = F.col("event_id") % 9
+    kind = F.when(k < 4, "enqueued").when(k == 4, "delivered").when(k == 5, "transient").when(k == 6, "permanent").when(k == 7, "corrupt").otherwise("full")
+    return table(spark, d, "events").select(kind.alias("kind"), (F.col("user_id") % 5 + 1).alias("records"))
+
+
+@query("""WITH l AS (SELECT event_id % 9 AS k, user_id % 5 + 1 AS n FROM events)
+SELECT CAST(sum(n) FILTER (k < 4) AS BIGINT) AS enqueued, CAST(0 AS BIGINT) AS append_errors, count(*) FILTER (k = 8) AS spool_full, CAST(sum(n) FILTER (k IN (4, 6, 7)) AS BIGINT) AS committed,
+  count(*) FILTER (k IN (4, 5, 6)) AS delivery_attempts, count(*) FILTER (k = 5) AS retries, count(*) FILTER (k IN (5, 6)) AS sink_errors, count(*) FILTER (k = 6) AS permanent_rejections, count(*) FILTER (k = 7) AS corrupt_skips FROM l""")
+def engine_counters(spark, d):
+    return metrics.engine_counters(_delivery_log(spark, d))
+
+
+@query("""SELECT event_type AS topic, count(*) AS n FROM events WHERE event_id % 9 = 4 GROUP BY event_type""")
+def delivered_by_topic(spark, d):
+    return metrics.topic_counts(records(spark, d).where(F.col("offset") % 9 == 4))
+
+
+@query("""SELECT true AS refused, CAST(10 AS BIGINT) AS checkpoint UNION ALL SELECT false, 51 UNION ALL SELECT false, 10""")
+def commit_guard(spark, d):
+    r = records(spark, d)
+    return log.commit_target(r, 10, 1 << 40).unionByName(log.commit_target(r, 10, 50)).unionByName(log.commit_target(r, 10, 3))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, CASE WHEN event_id % 6 = 0 THEN -2 ELSE 1 END AS delta, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+w AS (SELECT user_id, seq, rn, CASE WHEN delta < 0 THEN 0 ELSE 1 END AS used, true AS admitted FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.seq, e.rn, CASE WHEN delta < 0 THEN greatest(used + delta, 0) WHEN used < 4 THEN used + 1 ELSE used END, delta < 0 OR used < 4 FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT user_id, seq, admitted FROM w""")
+def admission_with_commits(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 6 == 0, -2).otherwise(1).alias("delta"))
+    return log.admit_events(e, 4, ("user_id",)).select("user_id", "seq", "admitted")
+
+
+@query("""SELECT event_id AS id FROM events WHERE user_id % 4 = 0 AND user_id % 3 = 0""")
+def refused_entries(spark, d):
+    u = F.col("user_id")
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(u % 4 != 0, F.col("event_type")).otherwise("").alias("topic"), F.when(u % 3 != 0, "svc").alias("service"))
+    return hub.refused(e).select("id")
+
+
+@query(r"""SELECT doc_id, replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '"', chr(92) || '"') AS label, CASE WHEN strlen(text) > 128 THEN '__overflow__' ELSE text END AS bounded FROM documents""")
+def metric_labels(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.escape_label(F.col("text")).alias("label"), tx.topic_label(F.col("text")).alias("bounded"))
+
+
+@query("""SELECT event_id, event_id % 3 <> 0 AS lines FROM events""")
+def content_types(spark, d):
+    k = F.col("event_id") % 3
+    given = F.when(k == 0, "application/json").when(k == 1, " Application/X-NDJSON; charset=utf-8").otherwise("application/jsonl")
+    return table(spark, d, "events").select("event_id", ingest.is_ndjson(given).alias("lines"))
+
+
+@query("""SELECT page_id, '"' || 'x' || '"' AS text_payload, '{"n":' || page_id || '}' AS json_payload FROM pages""")
+def wrapped_payloads(spark, d):
+    object_ = F.concat(F.lit('{"n":'), F.col("page_id").cast("string"), F.lit("}"))
+    return table(spark, d, "pages").select("page_id", hub.wrap_payload(F.lit("x")).alias("text_payload"), hub.wrap_payload(object_).alias("json_payload"))
+
+
+@query(f"""WITH {RAW_SQL}, got AS (SELECT * FROM ent WHERE level IN ('ERROR', 'FATAL') AND service = 'svc-1' ORDER BY "offset" LIMIT 30) SELECT "offset", payload AS text FROM got""")
+def raw_lines(spark, d):
+    return render.raw(hub.console_filter(entries(spark, d), ConsoleFilter(service="svc-1", level="error", limit=30)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest errors of one service within the ring."""
     return hub.query(hub.ring(entries(spark, sf_dir), 50_000), LogQuery(service="svc-3", level="error", limit=100)).select(SHOWN)
