@@ -73,8 +73,8 @@ def test_plan_and_posterior():
     assert [n for n, _ in floors][-1] == 252 and all(k < 0.85 * n for n, k in floors) and floors[-1][1] > 0.6 * 252
     rng = np.random.default_rng(1)
     pairs = 20_000
-    same = rng.random((pairs, 252)) < 0.85 + 0.15 / 256
-    a = rng.integers(0, 256, (pairs, 252), dtype=np.uint8)
+    same = rng.random((pairs, 252)) < 0.85
+    a = rng.integers(0, 65536, (pairs, 252), dtype=np.uint16)
     assert near.promising(a, np.where(same, a, a + 1), 0.85, 1e-6).all()
     same = rng.random((pairs, 252)) < 0.5
     assert near.promising(a, np.where(same, a, a + 1), 0.85, 1e-6).mean() < 0.001
@@ -84,8 +84,9 @@ def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     a, b = np.unique(x[:2000]), np.unique(x[500:2500])
-    s = near.signatures([a, b, a[:1]], 512)
-    assert abs((s[0] == s[1]).mean() - 0.6) < 0.08 and (near.signatures([a], 512)[0] == s[0]).all()
+    s = near.signatures_of([a, b, a[:1]], 512)
+    assert abs((s[0] == s[1]).mean() - 0.6) < 0.08 and (near.signatures_of([a], 512)[0] == s[0]).all()
+    assert near.node_of(a) == near.node_of(a[::-1].copy()) != near.node_of(b)
 
 
 def test_components(spark):
@@ -163,7 +164,7 @@ def test_quality_against_brute_force(spark):
         r = got[i, want[0]]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
         assert not (r.kept and r.base_failed)
-        if i is not None and i < 300 and want[0] >= 50 and not want[5] and len(t) > 50:
+        if i is not None and i < 300 and i % 7 and not want[5]:
             assert r.kept == ("%%%" not in t)
     assert quality.judge(docs_of(spark, rows).limit(0)).collect() == []
 
@@ -265,10 +266,25 @@ def test_near_paragraphs(spark):
 
 def test_cuts_are_local():
     rng = random.Random(3)
-    passage = near.word_hashes().array([w.encode() for w in prose(rng, 100)])
-    alone = np.flatnonzero(passages.cuts(passage, 6))
+    hashes = lambda words: near.word_hashes().array([w.encode() for w in words])
+    flat = lambda n: np.zeros(n, int)
+    passage = hashes(prose(rng, 100))
+    alone = np.flatnonzero(passages.cuts(passage, flat(100), 6))
     for _ in range(5):
-        a = near.word_hashes().array([w.encode() for w in prose(rng, 37)])
-        inside = np.flatnonzero(passages.cuts(np.concatenate([a, passage, a]), 6)) - 37
+        a = hashes(prose(rng, 37))
+        inside = np.flatnonzero(passages.cuts(np.concatenate([a, passage, a]), flat(174), 6)) - 37
         assert [x for x in inside if 8 <= x < 90] == [x for x in alone if 8 <= x < 90]
-    assert len(passages.cuts(passage[:0], 6)) == 0 and passages.pieces_of(passage[:1], 6)[0].tolist() == [0]
+        two = passages.cuts(np.concatenate([a, passage]), np.repeat([0, 1], [37, 100]), 6)
+        assert (two[37:] == passages.cuts(passage, flat(100), 6)).all() and (two[:37] == passages.cuts(a, flat(37), 6)).all()
+    assert len(passages.cuts(passage[:0], flat(0), 6)) == 0 and passages.pieces_of(passage[:1], flat(1), 6)[0].tolist() == [0]
+
+
+def test_paragraph_sets_are_the_single_ones():
+    rng = random.Random(6)
+    lines = [[w.encode() for w in rng.choices(WORDS[:30], k=rng.randint(20, 60))] for _ in range(20)]
+    h = near.word_hashes().array([w for x in lines for w in x])
+    members, starts = passages._paragraph_sets(h, np.array([len(x) for x in lines]), 5)
+    names = near.set_names(members, starts)
+    for i, x in enumerate(lines):
+        one = near.shingle_set(x, 5)
+        assert (members[starts[i] : [*starts[1:], len(members)][i]] == one).all() and names[i] == near.node_of(one)

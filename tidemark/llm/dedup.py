@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_broadcast, materialize, release
-from tidemark.llm.near import Finder, node_of, plan, shingle_set, signatures
+from tidemark.llm.near import Finder, node_of, plan, shingle_set, signatures_of
 from tidemark.llm.pretoken import blocks
 
 
@@ -26,7 +26,7 @@ def _signed(docs: DataFrame, k: int, m: int) -> DataFrame:
                 part = batch.slice(a, size)
                 sets = [shingle_set(words(t), k) for t in part.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
-                sig = iter(signatures(full, m)) if full else iter(())
+                sig = iter(signatures_of(full, m)) if full else iter(())
                 nodes = [node_of(s) if len(s) else None for s in sets]
                 packed = [next(sig).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "node", "sig"])

@@ -1,11 +1,12 @@
 """Near-duplicate classes: MinHash bands, sequential Bayesian verification, exact verification, components.
 
 Everything works on *classes*, texts with the same set of shingles: exact copies never meet.  Members of a band
-bucket aren't paired with one another.  Each is first compared with the two ends of its bucket; the links found are
-joined into components.  Only buckets that then still hold several components are looked at again: their
-members outside the bucket's main component are compared by signature with all the others, block by block, and
-what survives is verified on full sets.  So every pair that shares a band and isn't connected already is judged,
-while a group of n near copies costs about n comparisons.
+bucket aren't paired with one another.  Each class is first compared with one other, the bucket leader it meets in
+most bands; the links found are joined into components.  Only buckets that then still hold several components
+are looked at again: members outside the bucket's main component are compared by signature with all the others,
+block by block.  Of what survives, the likeliest few to each component are verified on full sets and joined, and
+then all that still lies between components.  So every pair that shares a band and isn't connected already is
+judged, while a group of n near copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -67,9 +68,14 @@ def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(shingles(word_hashes().array(words), k))
 
 
+def set_names(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Signed 64-bit names of the sets that begin at ``starts`` in ``flat``, whatever the order of their members."""
+    sizes = np.diff(np.append(starts, len(flat))).astype(np.uint64)
+    return mix(np.add.reduceat(mix(flat + _STEP), starts) + sizes * _STEP).view(np.int64)
+
+
 def node_of(unique: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(unique.tobytes()) - (1 << 63)
+    return int(set_names(unique, np.zeros(1, np.int64))[0])
 
 
 @lru_cache(maxsize=4)
@@ -78,29 +84,30 @@ def _permutations(m: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, m, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, m, np.uint32)
 
 
-def signatures(sets: list[np.ndarray], m: int, chunk: int = 1 << 15) -> np.ndarray:
-    """One byte of each of ``m`` minima per set; no set may be empty."""
+def signatures(flat: np.ndarray, starts: np.ndarray, m: int, chunk: int = 1 << 15) -> np.ndarray:
+    """Two bytes of each of ``m`` minima for the sets (of 64-bit members, none empty) that begin at ``starts``."""
     a, b = _permutations(m)
-    out = np.empty((len(sets), m), np.uint8)
+    ends = np.append(starts[1:], len(flat))
+    out = np.empty((len(starts), m), np.uint16)
     i = 0
-    while i < len(sets):
-        j, total = i, 0
-        while j < len(sets) and (j == i or total + len(sets[j]) <= chunk):
-            total += len(sets[j])
-            j += 1
-        flat = (np.concatenate(sets[i:j]) >> np.uint64(32)).astype(np.uint32)
-        starts = np.cumsum([0, *(len(s) for s in sets[i : j - 1])])
-        x = np.empty_like(flat)
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + chunk, "right")))
+        part = (flat[starts[i] : ends[j - 1]] >> np.uint64(32)).astype(np.uint32)
+        at, x = starts[i:j] - starts[i], np.empty_like(part)
         for p in range(m):
-            np.multiply(flat, a[p], out=x)
+            np.multiply(part, a[p], out=x)
             np.add(x, b[p], out=x)
-            out[i:j, p] = (np.minimum.reduceat(x, starts) >> np.uint32(3)).astype(np.uint8)
+            out[i:j, p] = (np.minimum.reduceat(x, at) >> np.uint32(3)).astype(np.uint16)
         i = j
     return out
 
 
+def signatures_of(sets: list[np.ndarray], m: int) -> np.ndarray:
+    return signatures(np.concatenate(sets), np.cumsum([0, *(len(x) for x in sets[:-1])]), m)
+
+
 def plan(threshold: float, miss: float, most: int = 256) -> tuple[int, int]:
-    """(bands, rows): the most rows of at most seven bytes whose bands miss a pair at the threshold with ``miss`` at most."""
+    """(bands, rows): the most rows, seven at most, whose bands miss a pair at the threshold with ``miss`` at most."""
     for rows in range(7, 0, -1):
         bands = math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
         if bands * rows <= most:
@@ -110,11 +117,11 @@ def plan(threshold: float, miss: float, most: int = 256) -> tuple[int, int]:
 
 @lru_cache(maxsize=8)
 def least_matches(m: int, batch: int, threshold: float, miss: float) -> list[tuple[int, int]]:
-    """(bytes compared, fewest matches to go on): below, the posterior that the similarity reaches ``threshold`` is
-    under ``miss``.  Uniform prior; one byte of two different minima agrees by chance once in 256."""
+    """(minima compared, fewest matches to go on): below, the posterior that the similarity reaches ``threshold`` is
+    under ``miss``.  Uniform prior; two bytes of two different minima agree by chance once in 65,536."""
     c = np.linspace(0, 1, 20001)[1:-1]
-    reach = c >= threshold + (1 - threshold) / 256
-    possible = c >= 1 / 256
+    reach = c >= threshold + (1 - threshold) / 65536
+    possible = c >= 1 / 65536
     out = []
     for n in [*range(batch, m, batch), m]:
         for k in range(n + 1):
@@ -141,7 +148,7 @@ def promising(a: np.ndarray, b: np.ndarray, threshold: float, miss: float, batch
 
 
 def _matrix(column: pa.Array, m: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, m)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, m)
 
 
 class Finder:
@@ -164,8 +171,8 @@ class Finder:
                     sig = _matrix(part.column(1), bands * rows)
                     keys = np.zeros((len(sig), bands), np.uint64)
                     for r in range(rows):
-                        keys = (keys << np.uint64(8)) | sig[:, r::rows]
-                    keys = (keys << np.uint64(8)) + np.arange(bands, dtype=np.uint64)
+                        keys = mix(keys + sig[:, r::rows] + _STEP)
+                    keys = (keys << np.uint64(8)) + np.arange(bands, dtype=np.uint64)  # the last byte names the band
                     nodes = np.repeat(part.column(0).to_numpy(), bands)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], ["key", "node"])
 
@@ -191,6 +198,7 @@ class Finder:
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
         num, den = self.num, self.den
         left = materialize(pairs, f"{name}-survivors")
+        self.judged = left.count()
         nodes = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
         sets = materialize(self.fetch(nodes), f"{name}-sets")
 
@@ -212,69 +220,134 @@ class Finder:
     def components(self) -> DataFrame:
         """(node, comp), materialised, of all classes that are linked with another."""
         buckets = materialize(self.banded().groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "buckets")
-        star = self.banded().join(bounded_broadcast(buckets, 24), "key")
-        star = star.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-        links = self._judge(star, "star")
+        star = self.banded().join(bounded_broadcast(buckets.select("key", "lo"), 24), "key").where("node <> lo").groupBy("node", "lo").agg(F.count("*").alias("shared"))
+        star = star.groupBy("node").agg(F.max_by("lo", F.struct("shared", -F.col("lo"))).alias("lo"))
+        links = self._judge(star.select(F.col("lo").alias("a"), F.col("node").alias("b")), "star")
         comp = materialize(connected_components(links), "comp")
-        more = self._rest(buckets, comp)
-        if not more.isEmpty():
-            new = materialize(connected_components(links.unionByName(more)), "comp")
-            release(comp)
-            comp = new
-        release(buckets, links, more)
+        for mode in ("best", "best", "all"):
+            more = self._best(buckets, comp) if mode == "best" else self._all(buckets, comp)
+            found = not more.isEmpty()
+            if found:
+                both = materialize(links.unionByName(more), "links")
+                new = materialize(connected_components(both), "comp")
+                release(comp, links)
+                comp, links = new, both
+            release(more)
+            if mode == "best" and not self.judged:  # nothing is left between components
+                break
+        release(buckets, links)
         return comp
 
-    def _rest(self, buckets: DataFrame, comp: DataFrame, block: int = 4096) -> DataFrame:
-        """Links between components within the buckets that hold several of them."""
-        num, den, miss, m = self.num, self.den, self.miss, self.bands * self.rows
+    def _split(self, buckets: DataFrame, comp: DataFrame, block: int = 1024) -> DataFrame:
+        """Members of the buckets that hold several components, laid out for ``_held``: key, at, node, comp, query.
+
+        ``query`` rows, the members outside the bucket's main component, are to be held against all other rows
+        of the same (key, at).  Both sides are cut into blocks, so a task never holds more than two blocks.
+        """
         members = self.banded().join(bounded_broadcast(buckets.select("key"), 16), "key").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = materialize(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi"), "split")
-        here = members.join(bounded_broadcast(split.select("key", "size"), 24), "key")
-        main = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        split = materialize(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "split")
+        here = materialize(members.join(bounded_broadcast(split, 16), "key").select("key", "node", "comp"), "members")
+        main = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"))
         main = materialize(main, "main")
-        of = self.classes.select("node", "n", "sig")
-        rows = here.join(bounded_broadcast(main, 16), "key").join(of, "node")
-        blocks = F.greatest(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
-        outside = F.col("comp") != F.col("main")
-        # members of the main component lie in one block each, the others are held against every block
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        rows = rows.withColumn("outside", outside).withColumn("own", own).withColumn("block", F.explode(F.when(outside, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-
-        def compare(batches):
-            # rows of one (key, block) arrive together; a block is bounded, its outsiders come first
-            for group in _runs(batches):
-                comps, nodes, n = group["comp"], group["node"], group["n"]
-                sig, out, own_block = group["sig"], group["outside"], group["own"] == group["block"]
-                for i in np.flatnonzero(out):
-                    other = (comps != comps[i]) & (~out | (own_block & (nodes > nodes[i])))
-                    other &= (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
-                    at = np.flatnonzero(other)
-                    if len(at):
-                        at = at[promising(np.broadcast_to(sig[i], (len(at), m)), sig[at], num / den, miss)]
-                        if len(at):
-                            a, b = np.minimum(nodes[i], nodes[at]), np.maximum(nodes[i], nodes[at])
-                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        many = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+        rows = here.join(bounded_broadcast(main, 40), "key").withColumns({"_b": many(F.col("size")), "_q": many(F.col("size") - F.col("most")), "_h": F.xxhash64("node")})
+        own = F.pmod("_h", F.col("_b")) * F.lit(1 << 20)
+        as_row = rows.select("key", "node", "comp", F.lit(False).alias("query"), F.explode(F.transform(F.sequence(F.lit(0), F.col("_q") - 1), lambda q: (own + q).cast("long"))).alias("at"))
+        as_query = rows.where("comp <> main").select("key", "node", "comp", F.lit(True).alias("query"), F.explode(F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda b: (b * (1 << 20) + F.pmod("_h", F.col("_q"))).cast("long"))).alias("at"))
+        laid = materialize(as_row.unionByName(as_query), "laid")
+        release(split, here, main)
+        return laid
+
+    def _held(self, laid: DataFrame, work: Callable, columns: tuple[str, str], extra: tuple[str, ...] = ()) -> DataFrame:
+        """Run ``work(group, i, at)`` for each query row i and the rows ``at`` that its signature may be linked with;
+        it returns pairs of numbers, the two ``columns`` of the result."""
+        num, den, miss, m = self.num, self.den, self.miss, self.bands * self.rows
+        names = ["key", "at", "node", "comp", "query", "n", "sig", *extra]
 
-        def _runs(batches):
+        def group_of(table):
+            made = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "query", "n")}
+            sets = {c: [np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()] for c in extra}
+            return made | sets | {"key": table.column("key")[0].as_py(), "sig": _matrix(table.column("sig").combine_chunks(), m)}
+
+        def groups(batches):
             held: list[pa.RecordBatch] = []
             for batch in batches:
-                held.append(batch)
-                table = pa.Table.from_batches(held)
-                key = table.column("key").to_numpy()
-                blk = table.column("block").to_numpy()
-                cuts = np.flatnonzero((key[1:] != key[:-1]) | (blk[1:] != blk[:-1])) + 1
+                table = pa.Table.from_batches([*held, batch])
+                key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
+                cuts = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1])) + 1
                 edges = [0, *cuts.tolist()]
                 for x, y in zip(edges[:-1], edges[1:], strict=True):
-                    yield _group(table.slice(x, y - x))
-                held = table.slice(edges[-1]).combine_chunks().to_batches() if table.num_rows else []
+                    yield group_of(table.slice(x, y - x))
+                held = table.slice(edges[-1]).to_batches()
             if held:
-                yield _group(pa.Table.from_batches(held))
+                yield group_of(pa.Table.from_batches(held))
+
+        def run(batches):
+            for g in groups(batches):
+                rows = np.flatnonzero(~g["query"])
+                sig, n, comp, made = g["sig"][rows], g["n"][rows], g["comp"][rows], []
+                for i in np.flatnonzero(g["query"]):
+                    ok = (comp != g["comp"][i]) & (den * np.minimum(n, g["n"][i]) >= num * np.maximum(n, g["n"][i]))
+                    at = np.flatnonzero(ok)
+                    if len(at):
+                        at = at[promising(np.broadcast_to(g["sig"][i], (len(at), m)), sig[at], num / den, miss)]
+                        if len(at):
+                            made += work(g, i, rows[at])
+                if made:
+                    pairs = np.unique(np.array(made, np.int64), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], list(columns))
 
-        def _group(table):
-            made = {c: table.column(c).to_numpy() for c in ("key", "block", "node", "comp", "n", "outside", "own")}
-            return made | {"sig": _matrix(table.column("sig").combine_chunks(), m)}
+        of = self.classes.select("node", "n", "sig")
+        full = laid.join(of, "node").select(names)
+        return full.repartition("key", "at").sortWithinPartitions("key", "at").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
-        laid = rows.select("key", "block", "node", "comp", "n", "outside", "own", "sig").repartition("key", "block").sortWithinPartitions("key", "block")
-        links = self._verify(laid.mapInArrow(compare, "a long, b long").distinct(), "rest")
-        release(split, main)
+    def _best(self, buckets: DataFrame, comp: DataFrame) -> DataFrame:
+        """Links of each outside member with its likeliest partner in another component of its bucket."""
+
+        def work(g, i, at):
+            j = at[np.argmax((g["sig"][at] == g["sig"][i]).sum(1))]
+            return [sorted((g["node"][i], g["node"][j]))]
+
+        laid = self._split(buckets, comp)
+        links = self._verify(self._held(laid, work, ("a", "b")).distinct(), "best")
+        release(laid)
         return links
+
+    def _all(self, buckets: DataFrame, comp: DataFrame) -> DataFrame:
+        """All links between components that are left: full sets are compared where a pair meets first, and a member
+        stops at its first link with a component."""
+        num, den, bands, rows = self.num, self.den, self.bands, self.rows
+
+        def first_here(g, i, at):
+            same = (g["sig"][at].reshape(-1, bands, rows) == g["sig"][i].reshape(bands, rows)).all(2)
+            return at[same.argmax(1) == g["key"] & 255]
+
+        def who(g, i, at):
+            at = first_here(g, i, at)
+            return [(g["key"], x) for x in (*g["node"][at], g["node"][i])] if len(at) else []
+
+        def exact(g, i, at):
+            at, mine, linked, found = first_here(g, i, at), g["items"][i], set(), []
+            at = at[np.argsort(-(g["sig"][at] == g["sig"][i]).sum(1), kind="stable")]
+            for x in range(0, len(at), 64):
+                some = [j for j in at[x : x + 64] if int(g["comp"][j]) not in linked]
+                if not some:
+                    continue
+                flat = np.concatenate([g["items"][j] for j in some])
+                place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                sizes = np.array([len(g["items"][j]) for j in some])
+                both = np.add.reduceat((mine[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                for j, c, n in zip(some, both, sizes, strict=True):
+                    if den * c >= num * (len(mine) + n - c) and int(g["comp"][j]) not in linked:
+                        linked.add(int(g["comp"][j]))
+                        found.append(sorted((g["node"][i], g["node"][j])))
+            return found
+
+        laid = self._split(buckets, comp)
+        part = materialize(self._held(laid, who, ("key", "node")).distinct(), "part")
+        sets = materialize(self.fetch(part.select("node").distinct()), "rest-sets")
+        needed = laid.join(bounded_broadcast(part, 24), ["key", "node"]).join(sets, "node")
+        links = materialize(self._held(needed, exact, ("a", "b"), ("items",)).distinct(), "rest-links")
+        release(laid, part, sets)
+        return links
+

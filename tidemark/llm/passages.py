@@ -22,35 +22,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_broadcast, materialize, release
-from tidemark.llm.near import Finder, mix, node_of, plan, shingle_set, shingles, signatures, word_hashes
+from tidemark.llm.near import Finder, mix, node_of, plan, set_names, shingle_set, shingles, signatures, word_hashes
 from tidemark.llm.pretoken import blocks
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LINE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def cuts(h: np.ndarray, reach: int) -> np.ndarray:
-    """Where pieces begin: words whose (hashed) word pair is the first least within ``reach`` words either way."""
+def cuts(h: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
+    """Where pieces begin: words whose (hashed) word pair is the first least within ``reach`` words either way on its
+    line, and the first word of a line.  ``line`` numbers the line of each word."""
     if not len(h):
         return np.zeros(0, bool)
     g = mix(h + _LINE)
-    g[:-1] ^= h[1:]
+    alone = line[:-1] == line[1:]
+    g[:-1] ^= np.where(alone, h[1:], np.uint64(0))
     g = mix(g)
-    top = np.iinfo(np.uint64).max
     ok = np.ones(len(g), bool)
-    for d in range(1, reach + 1):
-        ok[d:] &= g[d:] < g[:-d]
-        ok[:-d] &= g[:-d] <= g[d:]
-    return ok & (g < top)
-
-
-def pieces_of(h: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the pieces of one line with word hashes ``h``."""
-    begin = cuts(h, reach)
-    begin[:1] = True
-    starts = np.flatnonzero(begin)
-    at = np.arange(len(h)) - np.repeat(starts, np.diff([*starts, len(h)]))
-    return starts, mix(np.add.reduceat(mix(h + _LINE * (at.astype(np.uint64) + np.uint64(1))), starts) if len(starts) else h[:0])
+    for d in range(1, min(reach, len(g) - 1) + 1):
+        apart = line[d:] != line[:-d]
+        ok[d:] &= (g[d:] < g[:-d]) | apart
+        ok[:-d] &= (g[:-d] <= g[d:]) | apart
+    ok[0] = True
+    ok[1:] |= ~alone
+    return ok
+
+
+def pieces_of(h: np.ndarray, line: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the pieces of lines laid end to end."""
+    starts = np.flatnonzero(cuts(h, line, reach))
+    if not len(starts):
+        return starts, h[:0]
+    at = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    return starts, mix(np.add.reduceat(mix(h + _LINE * (at.astype(np.uint64) + np.uint64(1))), starts))
+
+
+def _paragraph_sets(h: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, starts): the sorted shingle sets of lines laid end to end, each of ``k`` words or more."""
+    all_of = shingles(h, k)
+    line = np.repeat(np.arange(len(lengths)), lengths)
+    inside = line[: len(all_of)] == line[k - 1 :]
+    s, of = all_of[inside], line[: len(all_of)][inside]
+    order = np.lexsort((s, of))
+    s, of = s[order], of[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
+    s, of = s[new], of[new]
+    return s, np.searchsorted(of, np.arange(len(lengths)))
 
 
 def _lines(text: str | None) -> list[list[bytes]]:
@@ -59,37 +77,36 @@ def _lines(text: str | None) -> list[list[bytes]]:
 
 def _units(docs: DataFrame, k: int, m: int, min_words: int, reach: int) -> DataFrame:
     """A row per paragraph (piece null, with sig) and per piece of a paragraph."""
+    if min_words < k:
+        raise ValueError("paragraphs must hold a shingle")
+    names = ["doc_id", "line", "piece", "n", "node", "sig"]
 
     def run(batches):
         for batch in batches:
-            for a, size in blocks(batch.column(1), 2 << 20):
+            for a, size in blocks(batch.column(1), 1 << 20):
                 part = batch.slice(a, size)
-                doc, line, piece, n, node, sets = [], [], [], [], [], []
-                pd, pl, pp, pn, ph = [], [], [], [], []
+                doc, at, lengths, flat = [], [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for at, words in enumerate(_lines(text)):
-                        if len(words) < min_words:
-                            continue
-                        h = word_hashes().array(words)
-                        s = np.unique(shingles(h, k))
-                        doc.append(i)
-                        line.append(at)
-                        n.append(len(s))
-                        node.append(node_of(s))
-                        sets.append(s)
-                        starts, hashes = pieces_of(h, reach)
-                        pd += [i] * len(starts)
-                        pl += [at] * len(starts)
-                        pp.append(np.arange(len(starts)))
-                        pn.append(np.diff([*starts, len(h)]))
-                        ph.append(hashes)
+                    for line, words in enumerate(_lines(text)):
+                        if len(words) >= min_words:
+                            doc.append(i)
+                            at.append(line)
+                            lengths.append(len(words))
+                            flat += words
                 if not doc:
                     continue
-                sig = signatures(sets, m)
-                cat = lambda x, t: pa.array(np.concatenate(x).astype(t))
-                names = ["doc_id", "line", "piece", "n", "node", "sig"]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.nulls(len(doc), pa.int32()), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], names)
-                yield pa.RecordBatch.from_arrays([pa.array(pd, pa.int64()), pa.array(pl, pa.int32()), cat(pp, "i4"), cat(pn, "i4"), pa.array(np.concatenate(ph).view(np.int64)), pa.nulls(len(pd), pa.binary())], names)
+                doc, at, lengths = np.array(doc), np.array(at, np.int32), np.array(lengths)
+                h = word_hashes().array(flat)
+                members, starts = _paragraph_sets(h, lengths, k)
+                sig, sizes = signatures(members, starts, m), np.diff(np.append(starts, len(members))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.nulls(len(doc), pa.int32()), pa.array(sizes), pa.array(set_names(members, starts)), pa.array([r.tobytes() for r in sig], pa.binary())], names)
+                of = np.repeat(np.arange(len(lengths)), lengths)
+                begin, hashes = pieces_of(h, of, reach)
+                own = of[begin]
+                first = np.searchsorted(own, np.arange(len(lengths)))
+                number = (np.arange(len(begin)) - first[own]).astype(np.int32)
+                n = np.diff(np.append(begin, len(h))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(at[own]), pa.array(number), pa.array(n), pa.array(hashes.view(np.int64)), pa.nulls(len(begin), pa.binary())], names)
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, line int, piece int, n int, node long, sig binary")
 
@@ -147,7 +164,8 @@ def cut_text(text: str, lines: set[int], pieces: dict[int, set[int]], min_words:
         repeated = pieces.get(at)
         if repeated:
             spans = [w.span() for w in _WORD.finditer(raw)]
-            starts, _ = pieces_of(word_hashes().array(raw.lower().split()), reach)
+            h = word_hashes().array(raw.lower().split())
+            starts, _ = pieces_of(h, np.zeros(len(h), np.int64), reach)
             edges = [*starts.tolist(), len(spans)]
             keep, p, done = [], 0, 0
             while p < len(starts):
