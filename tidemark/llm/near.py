@@ -196,11 +196,10 @@ class Finder:
         return self._verify(sized.select("a", "b", "sa", "sb").mapInArrow(sift, "a long, b long"), name)
 
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        num, den = self.num, self.den
+        """Pairs -> materialised links, on full sets."""
+        num, den, sets = self.num, self.den, self.sets
         left = materialize(pairs, f"{name}-survivors")
         self.judged = left.count()
-        nodes = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
-        sets = materialize(self.fetch(nodes), f"{name}-sets")
 
         def exact(batches):
             for batch in batches:
@@ -214,18 +213,24 @@ class Finder:
         side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"s{x}"))
         full = left.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
         links = materialize(full.mapInArrow(exact, "a long, b long").distinct(), f"{name}-links")
-        release(left, nodes, sets)
+        release(left)
         return links
 
     def components(self) -> DataFrame:
         """(node, comp), materialised, of all classes that are linked with another."""
         buckets = materialize(self.banded().groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "buckets")
-        star = self.banded().join(bounded_broadcast(buckets.select("key", "lo"), 24), "key").where("node <> lo").groupBy("node", "lo").agg(F.count("*").alias("shared"))
-        star = star.groupBy("node").agg(F.max_by("lo", F.struct("shared", -F.col("lo"))).alias("lo"))
+        # from here on only classes that share a bucket matter: their places and full sets are written once
+        self.members = materialize(self.banded().join(bounded_broadcast(buckets.select("key", "lo"), 24), "key"), "shared")
+        release(buckets)
+        nodes = materialize(self.members.select("node").distinct(), "nodes")
+        self.sets = materialize(self.fetch(nodes), "sets")
+        release(nodes)
+        star = self.members.where("node <> lo").groupBy("node", "lo").agg(F.count("*").alias("shared"))
+        star = star.groupBy("node").agg(F.max_by("lo", F.struct("shared", F.bitwise_not("lo"))).alias("lo"))
         links = self._judge(star.select(F.col("lo").alias("a"), F.col("node").alias("b")), "star")
         comp = materialize(connected_components(links), "comp")
         for mode in ("best", "best", "all"):
-            more = self._best(buckets, comp) if mode == "best" else self._all(buckets, comp)
+            more = self._best(comp) if mode == "best" else self._all(comp)
             found = not more.isEmpty()
             if found:
                 both = materialize(links.unionByName(more), "links")
@@ -235,16 +240,16 @@ class Finder:
             release(more)
             if mode == "best" and not self.judged:  # nothing is left between components
                 break
-        release(buckets, links)
+        release(self.members, self.sets, links)
         return comp
 
-    def _split(self, buckets: DataFrame, comp: DataFrame, block: int = 1024) -> DataFrame:
+    def _split(self, comp: DataFrame, block: int = 256) -> DataFrame:
         """Members of the buckets that hold several components, laid out for ``_held``: key, at, node, comp, query.
 
         ``query`` rows, the members outside the bucket's main component, are to be held against all other rows
         of the same (key, at).  Both sides are cut into blocks, so a task never holds more than two blocks.
         """
-        members = self.banded().join(bounded_broadcast(buckets.select("key"), 16), "key").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        members = self.members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         split = materialize(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "split")
         here = materialize(members.join(bounded_broadcast(split, 16), "key").select("key", "node", "comp"), "members")
         main = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"))
@@ -301,19 +306,19 @@ class Finder:
         full = laid.join(of, "node").select(names)
         return full.repartition("key", "at").sortWithinPartitions("key", "at").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
-    def _best(self, buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    def _best(self, comp: DataFrame) -> DataFrame:
         """Links of each outside member with its likeliest partner in another component of its bucket."""
 
         def work(g, i, at):
             j = at[np.argmax((g["sig"][at] == g["sig"][i]).sum(1))]
             return [sorted((g["node"][i], g["node"][j]))]
 
-        laid = self._split(buckets, comp)
+        laid = self._split(comp)
         links = self._verify(self._held(laid, work, ("a", "b")).distinct(), "best")
         release(laid)
         return links
 
-    def _all(self, buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    def _all(self, comp: DataFrame) -> DataFrame:
         """All links between components that are left: full sets are compared where a pair meets first, and a member
         stops at its first link with a component."""
         num, den, bands, rows = self.num, self.den, self.bands, self.rows
@@ -343,11 +348,10 @@ class Finder:
                         found.append(sorted((g["node"][i], g["node"][j])))
             return found
 
-        laid = self._split(buckets, comp)
+        laid = self._split(comp)
         part = materialize(self._held(laid, who, ("key", "node")).distinct(), "part")
-        sets = materialize(self.fetch(part.select("node").distinct()), "rest-sets")
-        needed = laid.join(bounded_broadcast(part, 24), ["key", "node"]).join(sets, "node")
+        needed = laid.join(bounded_broadcast(part, 24), ["key", "node"]).join(self.sets, "node")
         links = materialize(self._held(needed, exact, ("a", "b"), ("items",)).distinct(), "rest-links")
-        release(laid, part, sets)
+        release(laid, part)
         return links
 

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import bounded_broadcast, materialize, release
 from tidemark.llm.near import Finder, mix, node_of, plan, set_names, shingle_set, shingles, signatures, word_hashes
@@ -147,38 +148,36 @@ def _paragraph_copies(docs: DataFrame, units: DataFrame, k: int, num: int, den:
     return gone
 
 
-def _piece_copies(units: DataFrame) -> DataFrame:
-    """doc_id, line, piece of the pieces that a document with a smaller doc_id has."""
-    pieces = units.where("piece is not null").select("doc_id", "line", "piece", "node")
+def _piece_copies(units: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, line, first, last: runs of pieces that documents with smaller doc_ids have, of ``min_words`` or more."""
+    pieces = units.where("piece is not null").select("doc_id", "line", "piece", "n", "node")
     shared = materialize(pieces.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("node", "first"), "shared")
-    return pieces.join(bounded_broadcast(shared, 24), "node").where("doc_id <> first").select("doc_id", "line", "piece")
+    again = pieces.join(bounded_broadcast(shared, 24), "node").where("doc_id <> first").select("doc_id", "line", "piece", "n").distinct()
+    # neighbours have the same piece number less rank; a line is bounded, so the window is
+    run = F.col("piece") - F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("piece"))
+    runs = again.withColumn("_run", run).groupBy("doc_id", "line", "_run").agg(F.min("piece").alias("first"), F.max("piece").alias("last"), F.sum("n").alias("words"))
+    return runs.where(F.col("words") >= min_words).select("doc_id", "line", "first", "last")
 
 
-def cut_text(text: str, lines: set[int], pieces: dict[int, set[int]], min_words: int, reach: int) -> tuple[str, int, int]:
-    """(text without the removed parts, words removed, parts removed)."""
+def cut_text(text: str, lines: set[int], runs: dict[int, list[tuple[int, int]]], reach: int) -> tuple[str, int, int]:
+    """(text without whole lines and runs of pieces, words removed, parts removed)."""
     out, words_gone, parts = [], 0, 0
     for at, raw in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         if at in lines:
             words_gone, parts = words_gone + len(raw.split()), parts + 1
             continue
-        repeated = pieces.get(at)
-        if repeated:
+        if at in runs:
             spans = [w.span() for w in _WORD.finditer(raw)]
             h = word_hashes().array(raw.lower().split())
             starts, _ = pieces_of(h, np.zeros(len(h), np.int64), reach)
-            edges = [*starts.tolist(), len(spans)]
-            keep, p, done = [], 0, 0
-            while p < len(starts):
-                q = p
-                while q < len(starts) and q in repeated:
-                    q += 1
-                if q > p and edges[q] - edges[p] >= min_words:
-                    words_gone, parts = words_gone + edges[q] - edges[p], parts + 1
-                    keep.append(raw[done : spans[edges[p]][0]])
-                    done = spans[edges[q]][0] if edges[q] < len(spans) else len(raw)
-                p = max(q, p + 1)
-            keep.append(raw[done:])
-            raw = b"".join(keep)
+            edges, keep, done = [*starts.tolist(), len(spans)], [], 0
+            for first, last in sorted(runs[at]):
+                if last + 1 >= len(edges):
+                    continue  # another row with this doc_id
+                words_gone, parts = words_gone + edges[last + 1] - edges[first], parts + 1
+                keep.append(raw[done : spans[edges[first]][0]])
+                done = spans[edges[last + 1]][0] if edges[last + 1] < len(spans) else len(raw)
+            raw = b"".join([*keep, raw[done:]])
             if not raw.split():
                 continue
         out.append(raw)
@@ -186,13 +185,14 @@ def cut_text(text: str, lines: set[int], pieces: dict[int, set[int]], min_words:
 
 
 def removals(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = 20, reach: int = 6, miss: float = 1e-3) -> DataFrame:
-    """doc_id, lines, pieces (array of line, piece): what ``cut_text`` is to remove; only documents with any."""
+    """doc_id, lines, runs (array of line, first, last): what ``cut_text`` is to remove; only documents with any."""
     bands, rows = plan(num / den, miss, 32)
     units = materialize(_units(docs, k, bands * rows, min_words, reach), "units")
-    whole = _paragraph_copies(docs, units, k, num, den, bands, rows).select("doc_id", "line", F.lit(None).cast("int").alias("piece"))
-    each = whole.unionByName(_piece_copies(units))
-    at = F.struct("line", "piece")
-    grouped = each.groupBy("doc_id").agg(F.collect_set(F.when(F.col("piece").isNull(), F.col("line"))).alias("lines"), F.collect_set(F.when(F.col("piece").isNotNull(), at)).alias("pieces"))
+    none = F.lit(None).cast("int")
+    whole = _paragraph_copies(docs, units, k, num, den, bands, rows).select("doc_id", "line", none.alias("first"), none.alias("last"))
+    each = whole.unionByName(_piece_copies(units, min_words))
+    part = F.col("first").isNotNull()
+    grouped = each.groupBy("doc_id").agg(F.collect_set(F.when(~part, F.col("line"))).alias("lines"), F.collect_set(F.when(part, F.struct("line", "first", "last"))).alias("runs"))
     out = materialize(grouped, "removals")
     release(units)
     return out
@@ -219,14 +219,13 @@ def dedup_passages(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
                 part = batch.slice(a, size)
                 texts, words, parts = [], [], []
                 rows = zip(part.column(at).to_pylist(), part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)
-                for text, lines, pieces in rows:
-                    if text and (lines or pieces):
-                        by_line: dict[int, set[int]] = {}
-                        for p in pieces or ():
-                            by_line.setdefault(p["line"], set()).add(p["piece"])
-                        text, w, p = cut_text(text, set(lines or ()), by_line, min_words, reach)
-                    else:
-                        w = p = 0
+                for text, lines, runs in rows:
+                    w = p = 0
+                    if text and (lines or runs):
+                        by_line: dict[int, list[tuple[int, int]]] = {}
+                        for r in runs or ():
+                            by_line.setdefault(r["line"], []).append((r["first"], r["last"]))
+                        text, w, p = cut_text(text, set(lines or ()), by_line, reach)
                     texts.append(text)
                     words.append(w)
                     parts.append(p)
