@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store
+from tidemark.llm.common import hold, store
 from tidemark.llm.pretoken import PieceMemo, blocks, piece_finder
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
@@ -70,6 +70,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        hold("tokenfile", self.memo)
         if self.pieces is None:
             return self._library([t or "" for t in texts])
         return self.memo.encode(texts, self.pieces, self.special, self.added)

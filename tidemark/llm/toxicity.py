@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import hold
 from tidemark.llm.pretoken import blocks
 
 _TERM = re.compile(r"\w+")
@@ -52,7 +53,8 @@ class Machine:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         places, known = self.places, self.known
-        if len(known) > 500_000:
+        hold(f"toxicity {id(self)}", known)
+        if len(known) > 200_000:
             known.clear()
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
@@ -97,6 +99,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 6, min_docs:
     keep[often] = _telling(df[often].astype(float), np.bincount(at, y[doc], len(names))[often], float(y.mean()))
     if not keep.any():
         return empty
+    at = at.astype(np.int32)
     used = keep[at]
     col, doc, names = (np.cumsum(keep) - 1)[at[used]], doc[used], names[keep]
     m = len(names)
@@ -150,7 +153,7 @@ def crc_holdout() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine:
     """Learn ``labels.toxic`` (null labels and ids are left out; of repeated labels of a document the largest holds)."""
     return fit(*training_rows(docs, labels, max_rows, crc_holdout()))
 
