@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import hold
 from tidemark.llm.pretoken import PieceMemo, blocks, piece_finder
 
 _NEVER = 1 << 40
@@ -41,7 +42,7 @@ class Automaton:
         self.labels = labels
         self.left, self.parent, self.born = {}, {}, {}
         self.removed: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}  # state << 20 | token, as far as asked for
         made = {b: i for i, b in labels.items() if len(b) == 1}
         for time, (u, v, t) in enumerate(merges):
             reachable = labels[u] in made and labels[v] in made and self._open(u, v, time)
@@ -74,9 +75,9 @@ class Automaton:
         return True
 
     def _arc(self, state: int, token: int) -> bool:
-        if len(self.arcs) > 2_000_000:
+        if len(self.arcs) > 400_000:
             self.arcs.clear()
-        ok = self.arcs[state, token] = self._open(state, token)
+        ok = self.arcs[state << 20 | token] = self._open(state, token)
         return ok
 
     def encode(self, word: bytes) -> list[int]:
@@ -92,8 +93,10 @@ class Automaton:
                 token = step.get(word[i:j])
                 if token is None:
                     break
-                if token >= 0 and (i == 0 or (arcs[state, token] if (state, token) in arcs else self._arc(state, token))):
-                    last[j] = token
+                if token >= 0:
+                    ok = True if i == 0 else arcs.get(state << 20 | token)
+                    if ok or (ok is None and self._arc(state, token)):
+                        last[j] = token
         out, i = [], n
         while i:
             out.append(last[i])
@@ -101,41 +104,60 @@ class Automaton:
         return out[::-1]
 
 
-class Codec:
+def _file(path: str) -> tuple[dict, dict[str, int], dict[int, bytes]]:
+    """(the parsed file, its added tokens, the bytes of every other id)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
+        raise ValueError("only byte-level files without normalizer and prefix space are supported")
+    back = {c: b for b, c in byte_letters().items()}
+    added = {a["content"]: a["id"] for a in spec["added_tokens"]}
+    return spec, added, {i: bytes(back[c] for c in s) for s, i in spec["model"]["vocab"].items() if s not in added}
+
+
+class Encoder:
     """A byte-level BPE tokenizer file: splitting, the automaton and special tokens."""
 
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
-            raise ValueError("only byte-level files without normalizer and prefix space are supported")
+        spec, added, labels = _file(path)
         vocab = spec["model"]["vocab"]
-        back = {c: b for b, c in byte_letters().items()}
-        added = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        labels = {i: bytes(back[c] for c in s) for s, i in vocab.items() if s not in added}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.automaton = Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
-        self.labels = labels | {i: s.encode() for s, i in added.items()}
         self.added = {s: np.uint32(i).tobytes() for s, i in added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = piece_finder(ByteLevel(add_prefix_space=False, use_regex=True))
         one = self.automaton.encode
-        self.memo = PieceMemo(lambda ps: [np.array(one(p.encode()), "<u4").tobytes() for p in ps])
+        self.memo = PieceMemo(lambda ps: [np.array(one(p.encode()), "<u4").tobytes() for p in ps], most=300_000)
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as packed little-endian unsigned 32-bit integers; null as the empty text."""
+        hold("bpe", self.memo)
+        hold("bpe", self.automaton.arcs)
         return self.memo.encode(texts, self.pieces, self.special, self.added)
 
-    def decode(self, ids: bytes) -> str:
+
+class Decoder:
+    """The labels of the arcs, special tokens included."""
+
+    def __init__(self, path: str):
+        _, added, labels = _file(path)
+        self.labels = labels | {i: s.encode() for s, i in added.items()}
+
+    def __call__(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
     """Compiled once in each Python process."""
-    return Codec(path)
+    return Encoder(path)
+
+
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def _append(df: DataFrame, column: str, name: str, kind: str, make) -> DataFrame:
@@ -161,18 +183,36 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     Null and empty texts give empty ids.  Other columns pass through, repeated rows stay; a column already
     called ``ids`` is an error.  An empty table stays empty.
     """
-    return _append(df, text, ids, "binary", lambda texts: pa.array(codec(path).encode_many(texts), pa.binary()))
+    return _append(df, text, ids, "binary", lambda texts: pa.array(encoder(path)(texts), pa.binary()))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Append ``text``, the labels of ``ids``; special tokens are kept, broken UTF-8 becomes U+FFFD, null gives ''."""
-    return _append(df, ids, text, "string", lambda packed: pa.array([codec(path).decode(p or b"") for p in packed], pa.string()))
+    return _append(df, ids, text, "string", lambda packed: pa.array([decoder(path)(p or b"") for p in packed], pa.string()))
+
+
+def recode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, without ``text``: one Python process a task instead of two."""
+    keep = [c for c in df.columns if c != text]
+    if {ids, decoded} & set(keep):
+        raise ValueError("the table already has a column of the result")
+    schema = df.select(*keep, F.lit(None).cast("binary").alias(ids), F.lit(None).cast("string").alias(decoded)).schema
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(text))
+            others = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            for a, n in blocks(values, 2 << 20):
+                packed = encoder(path)(values.slice(a, n).to_pylist())
+                back = pa.array(map(decoder(path), packed), pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, n) for c in others), pa.array(packed, pa.binary()), back], schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """Contract rows: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
-    made = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
-    return made.select(
+    return recode(docs.select("doc_id", "text"), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         *(["ids"] if keep_ids else []),
