@@ -209,7 +209,7 @@ def dedup_passages(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
     if {"n_words_removed", "n_parts_removed"} & set(docs.columns):
         raise ValueError("the table already has a column of the result")
     found = removals(docs, k, num, den, min_words, reach).withColumnRenamed("doc_id", "_of")
-    both = docs.join(bounded_broadcast(found, 1024), docs["doc_id"] == found["_of"], "left").drop("_of")
+    both = docs.join(bounded_broadcast(found, 256), docs["doc_id"] == found["_of"], "left").drop("_of")
     at = docs.columns.index("text")
     schema = docs.withColumns({"n_words_removed": F.lit(0), "n_parts_removed": F.lit(0)}).schema
 
