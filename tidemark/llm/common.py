@@ -67,6 +67,15 @@ def bounded_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20
     return F.broadcast(df) if df.limit(limit_bytes // row_bytes + 1).count() * row_bytes <= limit_bytes else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Hand documents to Python in batches of at most ``rows``: Spark's default of 10,000 long texts a batch, held by
+    both processes, takes hundreds of megabytes.  A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, None) or 10_000) <= rows:
+        spark.conf.set(name, rows)
+    return spark
+
+
 _HELD: dict[str, list] = {}
 
 

@@ -38,7 +38,7 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash, emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

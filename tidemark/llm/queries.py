@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontam, dedup, html, passages, quality, tokenfile, toxicity, urlfilter, warc
-from tidemark.llm.common import new_path
+from tidemark.llm.common import new_path, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

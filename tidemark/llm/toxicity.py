@@ -54,7 +54,7 @@ class Machine:
     def score(self, texts: list[str | None]) -> np.ndarray:
         places, known = self.places, self.known
         hold(f"toxicity {id(self)}", known)
-        if len(known) > 200_000:
+        if len(known) > 100_000:
             known.clear()
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
