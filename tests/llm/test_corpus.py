@@ -179,6 +179,17 @@ def test_sketches_merge(spark):
     assert all(abs(a - b) <= 100 for a, b in zip(whole[0][2:], merged[0][2:], strict=True) if a is not None)
 
 
+def test_fences_bind(spark):
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        rows.append((i, "\n".join(" ".join(rng.choices(WORDS, k=20)) for _ in range(5))))
+    few = rng.choices(WORDS, k=100)
+    rows += [(500, " ".join(x + "%" * (j % 5 == 0) for j, x in enumerate(few))), (501, " ".join(x + "abc" for x in few)), (502, "\n".join([rows[0][1], rows[1][1], rows[0][1].split("\n")[0]]))]
+    got = {r.doc_id: r for r in quality.judge(docs_of(spark, rows)).collect()}
+    assert sum(got[i].kept for i in range(400)) >= 396
+    assert [(got[i].kept, got[i].base_failed) for i in (500, 501, 502)] == [(False, False)] * 3  # each within the values once fixed
+
+
 def labelled(n, seed):
     """Toxic: an insult, or the two harmless words together."""
     rng, rows = random.Random(seed), []

@@ -2,8 +2,9 @@
 
 The base counts of every text are made once, without an exchange, and written.  Quantile sketches (KLL) of four
 ratios are then built per (lang, source), merged into one per lang and one of all, and read off as fences
-q75 + spread * (q75 - q25) and q25 - spread * (q75 - q25).  A group of few documents takes the fences of its
-language, a small language those of the corpus.  The fences, one row per group, are joined back to the counts.
+q75 + spread * (q75 - q25) and q25 - spread * (q75 - q25); where the quartiles meet, at a least spread or a high
+quantile of the same sketch.  A group of few documents takes the fences of its language, a small language those of
+the corpus.  The fences, one row per group, are joined back to the counts.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from tidemark.llm.common import bounded_broadcast, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Ratio -> (lower fence floor or None, upper fence ceiling floor or None): a fence never cuts inside these values,
-#: so that groups without spread don't lose ordinary documents.  Parts per 1,000, word length in 1/1,000 characters.
-RATIOS = {"word_length": (3000, 10000), "symbols": (None, 100), "dup_lines": (None, 300), "repeats": (None, 300)}
+#: Ratio -> (has a lower fence, least spread, quantile for groups without spread or None).  Most texts have none of what
+#: the last three count, so their quartiles are 0.  Symbols are no part of prose: there the least spread decides.  A
+#: repeated line or phrase is: there the sketch's high quantile does.  Parts per 1,000, word length in 1/1,000 characters.
+RATIOS = {"word_length": (True, 50, None), "symbols": (False, 5, None), "dup_lines": (False, 5, 0.99), "repeats": (False, 5, 0.99)}
 
 
 def _words(text: Column) -> Column:
@@ -71,11 +73,15 @@ def fences(parts: DataFrame, spread: float = 3.0, least: int = 100) -> DataFrame
     merge = [F.sum("n").alias("n"), *(F.expr(f"kll_merge_agg_bigint({r})").alias(r) for r in RATIOS)]
     group, lang, corpus = parts.groupBy("lang", "source").agg(*merge), parts.groupBy("lang").agg(*merge), parts.agg(*merge)
     read = []
-    for r, (floor, ceiling) in RATIOS.items():
+    for r, (lower, narrow, high) in RATIOS.items():
         q = lambda p, r=r: F.expr(f"kll_sketch_get_quantile_bigint({r}, {p}D)")
-        step = spread * (q(0.75) - q(0.25))
-        read.append((F.lit(None) if floor is None else F.least(F.lit(float(floor)), q(0.25) - step)).cast("double").alias(f"lo_{r}"))
-        read.append((F.lit(None) if ceiling is None else F.greatest(F.lit(float(ceiling)), q(0.75) + step)).cast("double").alias(f"hi_{r}"))
+        iqr = q(0.75) - q(0.25)
+        step = spread * F.greatest(iqr, F.lit(narrow))
+        top = q(0.75) + step
+        if high is not None:
+            top = F.when(iqr > narrow, top).otherwise(F.greatest(top, q(high)))
+        read.append((q(0.25) - step if lower else F.lit(None)).cast("double").alias(f"lo_{r}"))
+        read.append(top.cast("double").alias(f"hi_{r}"))
     edges = [f"{s}_{r}" for r in RATIOS for s in ("lo", "hi")]
     group = group.select("lang", "source", "n", F.struct(*read).alias("own"))
     lang = lang.select(F.col("lang").alias("l"), F.col("n").alias("n_lang"), F.struct(*read).alias("of_lang"))
