@@ -264,6 +264,36 @@ def test_passages_are_cut_from_all_but_one(spark):
     assert len(got[2003]) == 2 and all(r.n_words_removed > 0.8 * len(rows[0][1].split()) for r in got[2003])
 
 
+def wrapped(words, n):
+    return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
+def test_passages_on_short_lines(spark):
+    """A copy is found whatever the line ends, also where all lines are short."""
+    rng, rows, want = random.Random(9), [], {}
+    for j in range(20):
+        passage = prose(rng, 51 + 5 * (j % 8))
+        a, b = prose(rng, 60), prose(rng, 60)
+        rows += [(2 * j, wrapped(a[:30] + passage + a[30:], 9)), (2 * j + 1, wrapped(b[:17] + passage + b[17:], 13))]
+        want[2 * j], want[2 * j + 1] = 0, len(passage)
+    rows += [(100, wrapped(prose(rng, 90), 10)), (102, wrapped(prose(rng, 19), 5))]
+    rows += [(101, rows[-2][1].replace("\n", " \n")), (103, rows[-1][1])]
+    got = {r.doc_id: r for r in passages.passage_rows(docs_of(spark, rows)).collect()}
+    assert {i: got[i].n_words_removed for i in want} == want
+    assert [got[i].n_words_removed for i in (100, 101, 102, 103)] == [0, 90, 0, 0] and got[101].text == "" and not got[101].kept
+
+
+def test_whole_passages_go(spark):
+    """Passages in the middle of different lines go to their very ends, the words around them stay."""
+    rng, rows, want = random.Random(10), [], {}
+    for j in range(150):
+        passage, a, b = prose(rng, rng.randint(51, 70)), prose(rng, 40), [f"own{x}" for x in prose(rng, 40)]
+        rows += [(2 * j, " ".join(a[:20] + passage + a[20:])), (2 * j + 1, " ".join(b[:20] + passage + b[20:]))]
+        want[2 * j], want[2 * j + 1] = rows[-2][1], " ".join(b)
+    got = {r.doc_id: r.text for r in passages.passage_rows(docs_of(spark, rows)).collect()}
+    assert got == want
+
+
 def test_near_paragraphs(spark):
     rng = random.Random(8)
     base = prose(rng, 80)

@@ -1,13 +1,14 @@
-"""Substring dedup: repeated paragraphs, and repeated passages inside paragraphs, are cut from all but one document.
+"""Substring dedup: repeated paragraphs, and repeated passages at any place, are cut from all but one document.
 
 A paragraph is a line of ``min_words`` words or more.
 
 * Paragraphs are banded by MinHash, colliding ones compared on their full sets of ``k``-word shingles, and the
   removals clustered by components (see ``near``); the copy in the smallest (doc_id, line) stays.
-* A passage that stands in the middle of two different paragraphs is found by its pieces: lines are cut before the
-  words whose hash is the least within ``reach`` words on either side, so a passage is cut at the same words
-  wherever it stands.  A piece that a document with a smaller doc_id has too is repeated; runs of repeated pieces of
-  ``min_words`` words or more are removed.
+* A passage that stands anywhere in two documents is found by its anchors: a document's words, whatever its lines, are
+  cut before the words whose hash is the least within ``reach`` words on either side, so a passage is cut at the
+  same words wherever it stands, and the words that decide on a cut are its anchor.  An anchor that a document with a
+  smaller doc_id has too is a seed; it is extended word by word against that document to the ends of the match, and
+  matches that make up ``min_words`` words or more are removed.
 
 Exact copies meet as one class, so the copies of a text are never paired.
 """
@@ -58,6 +59,16 @@ def pieces_of(h: np.ndarray, line: np.ndarray, reach: int) -> tuple[np.ndarray,
     return starts, mix(np.add.reduceat(mix(h + _LINE * (at.astype(np.uint64) + np.uint64(1))), starts))
 
 
+def anchors_of(h: np.ndarray, line: np.ndarray, starts: np.ndarray, reach: int) -> np.ndarray:
+    """Hashes of the words around each cut that decide on it, as far as they are on its line."""
+    total = np.zeros(len(starts), np.uint64)
+    for j in range(-reach, reach + 2):
+        at = np.clip(starts + j, 0, max(len(h) - 1, 0))
+        there = (at == starts + j) & (line[at] == line[starts])
+        total += np.where(there, mix(h[at] + _LINE * np.uint64(j + reach + 1)), np.uint64(0))
+    return mix(total)
+
+
 def _paragraph_sets(h: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(members, starts): the sorted shingle sets of lines laid end to end, each of ``k`` words or more."""
     all_of = shingles(h, k)
@@ -77,7 +88,8 @@ def _lines(text: str | None) -> list[list[bytes]]:
 
 
 def _units(docs: DataFrame, k: int, m: int, min_words: int, reach: int) -> DataFrame:
-    """A row per paragraph (piece null, with sig) and per piece of a paragraph."""
+    """A row per paragraph (piece null, with sig), and per piece of a document: line is its first word, n its length,
+    node its anchor and piece its hash."""
     if min_words < k:
         raise ValueError("paragraphs must hold a shingle")
     names = ["doc_id", "line", "piece", "n", "node", "sig"]
@@ -86,30 +98,36 @@ def _units(docs: DataFrame, k: int, m: int, min_words: int, reach: int) -> DataF
         for batch in batches:
             for a, size in blocks(batch.column(1), 1 << 20):
                 part = batch.slice(a, size)
-                doc, at, lengths, flat = [], [], [], []
+                ids, totals, doc, at, lengths, flat = [], [], [], [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for line, words in enumerate(_lines(text)):
-                        if len(words) >= min_words:
-                            doc.append(i)
-                            at.append(line)
-                            lengths.append(len(words))
-                            flat += words
-                if not doc:
+                    lines = _lines(text)
+                    total = sum(map(len, lines))
+                    if total < min_words:
+                        continue
+                    ids.append(i)
+                    totals.append(total)
+                    for line, words in enumerate(lines):
+                        doc.append(i)
+                        at.append(line)
+                        lengths.append(len(words))
+                        flat += words
+                if not ids:
                     continue
                 doc, at, lengths = np.array(doc), np.array(at, np.int32), np.array(lengths)
                 h = word_hashes().array(flat)
-                members, starts = _paragraph_sets(h, lengths, k)
-                sig, sizes = signatures(members, starts, m), np.diff(np.append(starts, len(members))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.nulls(len(doc), pa.int32()), pa.array(sizes), pa.array(set_names(members, starts)), pa.array([r.tobytes() for r in sig], pa.binary())], names)
-                of = np.repeat(np.arange(len(lengths)), lengths)
+                long = lengths >= min_words
+                if long.any():
+                    members, starts = _paragraph_sets(h[np.repeat(long, lengths)], lengths[long], k)
+                    sig, sizes = signatures(members, starts, m), np.diff(np.append(starts, len(members))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[long]), pa.array(at[long]), pa.nulls(len(sizes), pa.int64()), pa.array(sizes), pa.array(set_names(members, starts)), pa.array([r.tobytes() for r in sig], pa.binary())], names)
+                of = np.repeat(np.arange(len(totals)), totals)
                 begin, hashes = pieces_of(h, of, reach)
                 own = of[begin]
-                first = np.searchsorted(own, np.arange(len(lengths)))
-                number = (np.arange(len(begin)) - first[own]).astype(np.int32)
+                first = (np.cumsum(totals) - totals)[own]
                 n = np.diff(np.append(begin, len(h))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(at[own]), pa.array(number), pa.array(n), pa.array(hashes.view(np.int64)), pa.nulls(len(begin), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[own]), pa.array((begin - first).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(n), pa.array(anchors_of(h, of, begin, reach).view(np.int64)), pa.nulls(len(begin), pa.binary())], names)
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, line int, piece int, n int, node long, sig binary")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, line int, piece long, n int, node long, sig binary")
 
 
 def _paragraph_copies(docs: DataFrame, units: DataFrame, k: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
@@ -148,53 +166,119 @@ def _paragraph_copies(docs: DataFrame, units: DataFrame, k: int, num: int, den:
     return gone
 
 
-def _piece_copies(units: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line, first, last: runs of pieces that documents with smaller doc_ids have, of ``min_words`` or more."""
-    pieces = units.where("piece is not null").select("doc_id", "line", "piece", "n", "node")
-    shared = materialize(pieces.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("node", "first"), "shared")
-    again = pieces.join(bounded_broadcast(shared, 24), "node").where("doc_id <> first").select("doc_id", "line", "piece", "n").distinct()
-    # neighbours have the same piece number less rank; a line is bounded, so the window is
-    run = F.col("piece") - F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("piece"))
-    runs = again.withColumn("_run", run).groupBy("doc_id", "line", "_run").agg(F.min("piece").alias("first"), F.max("piece").alias("last"), F.sum("n").alias("words"))
-    return runs.where(F.col("words") >= min_words).select("doc_id", "line", "first", "last")
-
+def _seeds(units: DataFrame) -> DataFrame:
+    """doc_id, first, last, of, shift: chains of cuts, from one word to another, whose anchors and the pieces between them
+    document ``of``, with a smaller doc_id, has too, ``shift`` words on."""
+    pieces = units.where("piece is not null").select("doc_id", F.col("line").alias("at"), "piece", "n", "node")
+    held = F.min(F.struct("doc_id", "at", "piece"))
+    shared = materialize(pieces.groupBy("node").agg(held.alias("k"), F.max("doc_id").alias("last")).where("k.doc_id <> last").select("node", "k"), "shared")
+    again = pieces.join(bounded_broadcast(shared, 40), "node").where("doc_id <> k.doc_id")
+    again = again.select("doc_id", "at", "n", F.col("k.doc_id").alias("of"), (F.col("k.at") - F.col("at")).alias("shift"), (F.col("k.piece") == F.col("piece")).alias("same")).distinct()
+    # a document is bounded, so the window is
+    w = Window.partitionBy("doc_id").orderBy("at", "of", "shift", "n", "same")
+    before = F.lag(F.struct("of", "shift", (F.col("at") + F.col("n")).alias("at"), "same")).over(w)
+    on = F.col("b.same") & (F.col("b.of") == F.col("of")) & (F.col("b.shift") == F.col("shift")) & (F.col("b.at") == F.col("at"))
+    chain = again.withColumn("b", before).withColumn("new", F.when(on, 0).otherwise(1)).withColumn("chain", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return chain.groupBy("doc_id", "chain").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("of").alias("of"), F.first("shift").alias("shift")).drop("chain")
+
+
+def _around(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
+    """of, a, b, left, right: hashes of the words of document ``of`` before its word a, as far as the anchor of the cut
+    before, and from its word b on, as far as that of the cut behind.  A match that goes further has that anchor too."""
+    ends = seeds.select("of", (F.col("first") + F.col("shift")).alias("a"), (F.col("last") + F.col("shift")).alias("b")).distinct()
+    per_doc = materialize(ends.groupBy("of").agg(F.collect_list(F.struct("a", "b")).alias("want")), "ends")
+    found = docs.select("doc_id", "text").join(bounded_broadcast(per_doc, 128), F.col("doc_id") == F.col("of")).select("of", "want", "text")
+    names = ["of", "a", "b", "left", "right"]
 
-def cut_text(text: str, lines: set[int], runs: dict[int, list[tuple[int, int]]], reach: int) -> tuple[str, int, int]:
-    """(text without whole lines and runs of pieces, words removed, parts removed)."""
-    out, words_gone, parts = [], 0, 0
+    def run(batches):
+        for batch in batches:
+            for at, size in blocks(batch.column(2), 2 << 20):
+                rows = []
+                for of, want, text in zip(*(batch.column(c).slice(at, size).to_pylist() for c in range(3)), strict=True):
+                    h = _hashes(text)
+                    starts = np.flatnonzero(cuts(h, np.zeros(len(h), np.int64), reach))
+                    low = h.astype(np.uint32)
+                    for w in want:
+                        a, b = w["a"], w["b"]
+                        if b < len(h):  # otherwise another row with this doc_id
+                            i, j = np.searchsorted(starts, a) - 1, np.searchsorted(starts, b, "right")
+                            left = max(0, starts[i] - reach) if i >= 0 else 0
+                            right = starts[j] + reach + 2 if j < len(starts) else len(h)
+                            rows.append((of, a, b, low[left:a].tobytes(), low[b:right].tobytes()))
+                columns = zip(*rows, strict=True) if rows else [[]] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    return found.mapInArrow(run, "of long, a int, b int, left binary, right binary")
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    return word_hashes().array((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> int:
+    """How many leading words are the same."""
+    n = min(len(x), len(y))
+    apart = np.flatnonzero(x[:n] != y[:n])
+    return int(apart[0]) if len(apart) else n
+
+
+def matches(text: str, runs: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """The extended seeds, joined where they touch, of ``min_words`` words or more: first word, and the one behind."""
+    h = _hashes(text).astype(np.uint32)
+    found = []
+    for r in runs:
+        behind = _alike(h[r["last"] :], np.frombuffer(r["right"], np.uint32))
+        if behind:  # otherwise another row with this doc_id
+            found.append((r["first"] - _alike(h[: r["first"]][::-1], np.frombuffer(r["left"], np.uint32)[::-1]), r["last"] + behind))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= min_words]
+
+
+def cut_text(text: str, lines: set[int], spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """(text without whole lines and spans of words, words removed, parts removed)."""
+    out, words_gone, parts, n = [], 0, 0, 0
+    counted = set()
     for at, raw in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        begin, words = n, [w.span() for w in _WORD.finditer(raw)]
+        n += len(words)
         if at in lines:
-            words_gone, parts = words_gone + len(raw.split()), parts + 1
+            words_gone, parts = words_gone + len(words), parts + 1
             continue
-        if at in runs:
-            spans = [w.span() for w in _WORD.finditer(raw)]
-            h = word_hashes().array(raw.lower().split())
-            starts, _ = pieces_of(h, np.zeros(len(h), np.int64), reach)
-            edges, keep, done = [*starts.tolist(), len(spans)], [], 0
-            for first, last in sorted(runs[at]):
-                if last + 1 >= len(edges):
-                    continue  # another row with this doc_id
-                words_gone, parts = words_gone + edges[last + 1] - edges[first], parts + 1
-                keep.append(raw[done : spans[edges[first]][0]])
-                done = spans[edges[last + 1]][0] if edges[last + 1] < len(spans) else len(raw)
+        here = [(i, max(a, begin) - begin, min(b, n) - begin) for i, (a, b) in enumerate(spans) if a < n and b > begin]
+        if here:
+            keep, done = [], 0
+            for i, a, b in here:
+                counted.add(i)
+                words_gone += b - a
+                keep.append(raw[done : words[a][0]])
+                done = words[b][0] if b < len(words) else len(raw)
             raw = b"".join([*keep, raw[done:]])
             if not raw.split():
                 continue
         out.append(raw)
-    return b"\n".join(out).decode("utf-8", "surrogatepass"), words_gone, parts
+    return b"\n".join(out).decode("utf-8", "surrogatepass"), words_gone, parts + len(counted)
 
 
 def removals(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = 20, reach: int = 6, miss: float = 1e-3) -> DataFrame:
-    """doc_id, lines, runs (array of line, first, last): what ``cut_text`` is to remove; only documents with any."""
+    """doc_id, lines, runs (array of first, last, left, right, for ``matches``): what is to go; only documents with any."""
     bands, rows = plan(num / den, miss, 32)
     units = materialize(_units(docs, k, bands * rows, min_words, reach), "units")
-    none = F.lit(None).cast("int")
-    whole = _paragraph_copies(docs, units, k, num, den, bands, rows).select("doc_id", "line", none.alias("first"), none.alias("last"))
-    each = whole.unionByName(_piece_copies(units, min_words))
-    part = F.col("first").isNotNull()
-    grouped = each.groupBy("doc_id").agg(F.collect_set(F.when(~part, F.col("line"))).alias("lines"), F.collect_set(F.when(part, F.struct("line", "first", "last"))).alias("runs"))
+    whole = _paragraph_copies(docs, units, k, num, den, bands, rows)
+    seeds = materialize(_seeds(units), "seeds")
+    around = materialize(_around(docs, seeds, reach), "around")
+    both = seeds.withColumn("a", F.col("first") + F.col("shift")).withColumn("b", F.col("last") + F.col("shift")).join(bounded_broadcast(around, 512), ["of", "a", "b"])
+    run = F.struct("first", "last", "left", "right")
+    each = whole.select("doc_id", "line", F.lit(None).cast(both.select(run).schema[0].dataType).alias("run"))
+    each = each.unionByName(both.select("doc_id", F.lit(None).cast("int").alias("line"), run.alias("run")))
+    grouped = each.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_list("run").alias("runs"))
     out = materialize(grouped, "removals")
-    release(units)
+    release(units, seeds, around)
     return out
 
 
@@ -202,14 +286,14 @@ def dedup_passages(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
     """All columns of ``docs``, with the shorter ``text``, and n_words_removed, n_parts_removed.
 
     Every row stays, with an empty text if all of it was repeated.  Null and empty texts, rows without doc_id
-    and paragraphs of fewer than ``min_words`` words stay as they are; rows with the same doc_id are cut alike
+    and texts of fewer than ``min_words`` words stay as they are; rows with the same doc_id are cut alike
     at the places found in any of them; an empty table stays empty.  A column n_words_removed or
     n_parts_removed of the input is an error.
     """
     if {"n_words_removed", "n_parts_removed"} & set(docs.columns):
         raise ValueError("the table already has a column of the result")
     found = removals(docs, k, num, den, min_words, reach).withColumnRenamed("doc_id", "_of")
-    both = docs.join(bounded_broadcast(found, 256), docs["doc_id"] == found["_of"], "left").drop("_of")
+    both = docs.join(bounded_broadcast(found, 1024), docs["doc_id"] == found["_of"], "left").drop("_of")
     at = docs.columns.index("text")
     schema = docs.withColumns({"n_words_removed": F.lit(0), "n_parts_removed": F.lit(0)}).schema
 
@@ -222,10 +306,7 @@ def dedup_passages(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
                 for text, lines, runs in rows:
                     w = p = 0
                     if text and (lines or runs):
-                        by_line: dict[int, list[tuple[int, int]]] = {}
-                        for r in runs or ():
-                            by_line.setdefault(r["line"], []).append((r["first"], r["last"]))
-                        text, w, p = cut_text(text, set(lines or ()), by_line, reach)
+                        text, w, p = cut_text(text, set(lines or ()), matches(text, runs or [], min_words))
                     texts.append(text)
                     words.append(w)
                     parts.append(p)
