@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import os
+import re
 
 import duckdb
 import pytest
@@ -88,6 +89,29 @@ def test_main_text():
     assert html.main_text(PAGE) == "Title & more\nFirst para, with some text. Same block.\nSecond bold text, longer than the first one. Yes.\nShort.\none, two\nthree"
 
 
+LONG = "A sentence of the body, long enough, with commas, and an end. Another one follows, as long."
+
+
+@pytest.mark.parametrize(
+    ("before", "inside", "after"),
+    [
+        ("<h1>Heading</h1><p>The lead, in a sentence, of its own.</p><div class=body>", "<p>{}</p>", "</div>"),
+        ("<section><h2>One</h2>", "<p>{}</p>", "</section><section><h2>Two</h2><p>The short one, which counts, too.</p></section>"),
+        ("<p>Words before the list, as usual.</p><ul>", "<li>{}</li>", "</ul><p>Words after the list, as usual.</p>"),
+    ],
+)
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_parts_around_the_largest_stay(before, inside, after, around):
+    own = before + "".join(inside.format(LONG) for _ in range(20)) + after
+    page = f"<html><body><nav><a href=1>Home</a></nav><{around}>{own}</{around}><footer>End, of all.</footer></body></html>"
+    got = html.main_text(page).split("\n")
+    want = [t.strip() for t in re.split(r"<[^>]*>", own) if t.strip()]
+    if around == "article":
+        assert got == want
+    else:
+        assert got.count(LONG) == 20 and [t for t in want if t.endswith(".")] == [t for t in got if t.endswith(".")]
+
+
 @pytest.mark.parametrize(("markup", "want"), [(None, ""), ("", ""), ("<p>", ""), ("plain text", "plain text"), ("<p>a &lt;b&gt; &#233;&amp</p><p", "a <b> é&"), ("<p>x < y</p>", "x < y"), ("<!-- open", ""), ("<script>never closed", ""), ("</p></div>text", "text"), ("<p>a</p>" * 3, "a\na\na"), ("<div hidden><p>no</p></div><p>yes, this.</p>", "yes, this.")])
 def test_odd_markup(markup, want):
     assert html.main_text(markup) == want

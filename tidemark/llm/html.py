@@ -3,8 +3,8 @@
 A page is read as blocks of text, each with the path of tags from the root to it.  All blocks of a path are
 judged together: a path's text ratio is its text length per block, its punctuation ratio the share of clause
 punctuation, its plain ratio the share of text outside links.  Ratios are smoothed over neighbouring blocks,
-multiplied, and thresholded against the page's weighted mean; the chosen blocks' common container is the
-article, whose blocks are the main text.  Parts that say by their tag, role or class that they are no article
+multiplied, and thresholded against the page's weighted mean.  The element that holds nine tenths of the chosen
+text, or the article or main element around it, is the article: its blocks and all chosen ones are the main text.  Parts that say by their tag, role or class that they are no article
 text (menus, forms, adverts, reader comments, ...) take no part.
 """
 
@@ -223,7 +223,14 @@ def content_blocks(found: list[Block], share: float = 0.3) -> list[Block]:
         if b.nodes and b.nodes[-1] == inner and len(b.nodes) > 1:
             article = b.nodes[-2]
             break
-    return [b for b in found if article in b.nodes]
+    # the article or main element around it, if there is one; what was chosen elsewhere stays too
+    b = next(b for b in found if article in b.nodes)
+    for step, node in list(zip(b.path, b.nodes, strict=True))[b.nodes.index(article) :: -1]:
+        if step.split(".")[0] in ("article", "main"):
+            article = node
+            break
+    own = {id(b) for b in chosen}
+    return [b for b in found if article in b.nodes or id(b) in own]
 
 
 def main_text(markup: str | None) -> str:
