@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from tidemark.operators import log
 from tidemark.plans import live, queries
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +53,15 @@ def test_newest_k_is_a_top_k_plan(spark):
 def test_ring_needs_no_window(spark):
     plan = queries.ring_view_after_eviction(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["format_units_of_all", "progress_bars_of_all"])
+def test_every_event_is_formatted(spark, name):
+    assert ALL[name](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_every_log_is_pruned(spark):
+    df = spark.createDataFrame([(u, 10 * u + i, 300) for u in (1, 2) for i in range(3)] + [(None, 40, 300), (None, 41, 300)], "user_id int, offset long, length long")
+    by = ("user_id",)
+    got = log.prunable(log.segments(df, 400, by), 100, by).collect()
+    assert sorted((str(r.user_id), r.seg_base) for r in got) == [("1", 10), ("1", 11), ("2", 20), ("2", 21), ("None", 40)]

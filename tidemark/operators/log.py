@@ -150,11 +150,14 @@ def positions(assigned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return assigned.withColumn("pos", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long"))
 
 
-def prunable(assigned: DataFrame, checkpoint: int) -> DataFrame:
-    """Segments that may be deleted: all of their offsets lie before the checkpoint, and they aren't the newest."""
-    per = assigned.groupBy("seg_base").agg(F.max("offset").alias("last_offset"), F.count("*").alias("records"), F.sum("length").alias("bytes"))
-    newest = per.agg(F.max("seg_base").alias("_active"))
-    return per.join(F.broadcast(newest)).where((F.col("seg_base") < F.col("_active")) & (F.col("last_offset") < checkpoint)).drop("_active")
+def prunable(assigned: DataFrame, checkpoint: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Segments that may be deleted: all of their offsets lie before the checkpoint, and they aren't their log's newest."""
+    per = assigned.groupBy(*by, "seg_base").agg(F.max("offset").alias("last_offset"), F.count("*").alias("records"), F.sum("length").alias("bytes"))
+    if by:
+        per = per.withColumn("_active", F.max("seg_base").over(Window.partitionBy(*by)))
+    else:
+        per = per.join(F.broadcast(per.agg(F.max("seg_base").alias("_active"))))
+    return per.where((F.col("seg_base") < F.col("_active")) & (F.col("last_offset") < checkpoint)).drop("_active")
 
 
 def disk_bytes(spark, path: str) -> DataFrame:

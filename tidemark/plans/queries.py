@@ -336,6 +336,14 @@ def prune_segments(spark, d):
     return log.prunable(log.segments(_keyed(spark, d).where("user_id = 7"), 400, ("user_id",)), half)
 
 
+@query(SEGMENTS_SQL + """, p AS (SELECT user_id, seg_base, max("offset") AS last_offset, count(*) AS records, CAST(sum(length) AS BIGINT) AS bytes FROM w GROUP BY user_id, seg_base)
+SELECT * FROM p WHERE seg_base < (SELECT max(q.seg_base) FROM p q WHERE q.user_id IS NOT DISTINCT FROM p.user_id) AND last_offset < (SELECT max(event_id) // 2 FROM events)""")
+def prune_segments_of_all(spark, d):
+    half = table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    by = ("user_id",)
+    return log.prunable(log.segments(_keyed(spark, d), 400, by), half, by)
+
+
 @query(f"""WITH {FRAMES_SQL} SELECT count(*) AS records, CAST(sum(length) AS BIGINT) AS bytes FROM fr WHERE "offset" >= 321""")
 def uncommitted_stats(spark, d):
     return log.uncommitted(_frames(spark, d), 321)
@@ -489,12 +497,26 @@ def format_units(spark, d):
     return e.select("event_id", tx.format_bytes(_sizes()).alias("size"), tx.format_number(_sizes()).alias("n"), tx.format_uptime(F.col("event_id") * 37).alias("uptime"))
 
 
+@query("""WITH v AS (SELECT event_id, event_id * event_id * 1237 AS b, event_id * 37 AS s FROM events)
+SELECT event_id, CASE WHEN b < 1024 THEN b || ' B' ELSE regexp_replace(format('{:.1f}', b / pow(1024, CASE WHEN b < 1048576 THEN 1 WHEN b < 1073741824 THEN 2 WHEN b < 1099511627776 THEN 3 ELSE 4 END)), '$', CASE WHEN b < 1048576 THEN ' KB' WHEN b < 1073741824 THEN ' MB' WHEN b < 1099511627776 THEN ' GB' ELSE ' TB' END) END AS size,
+  format('{:,}', b) AS n, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' WHEN s >= 60 THEN (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE s || 's' END AS uptime FROM v""")
+def format_units_of_all(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", tx.format_bytes(_sizes()).alias("size"), tx.format_number(_sizes()).alias("n"), tx.format_uptime(F.col("event_id") * 37).alias("uptime"))
+
+
 @query("""SELECT event_id, '[' || repeat('█', CAST(floor(least(event_id / 5000.0, 1) * 20) AS INTEGER)) || repeat('░', 20 - CAST(floor(least(event_id / 5000.0, 1) * 20) AS INTEGER)) || '] '
   || lpad(CAST(CAST(least(event_id * 100 / 5000.0, 100) AS DECIMAL(5,1)) AS VARCHAR), 5, ' ') || '% (' || event_id || ' / 5000)' AS bar FROM events WHERE event_id % 5 = 0""")
 def progress_bars(spark, d):
     return table(spark, d, "events").where("event_id % 5 = 0").select("event_id", tx.progress_bar(F.col("event_id"), F.lit(5000)).alias("bar"))
 
 
+@query("""SELECT event_id, '[' || repeat('█', CAST(floor(least(event_id / 5000.0, 1) * 20) AS INTEGER)) || repeat('░', 20 - CAST(floor(least(event_id / 5000.0, 1) * 20) AS INTEGER)) || '] '
+  || lpad(CAST(CAST(least(event_id * 100 / 5000.0, 100) AS DECIMAL(5,1)) AS VARCHAR), 5, ' ') || '% (' || event_id || ' / 5000)' AS bar FROM events""")
+def progress_bars_of_all(spark, d):
+    return table(spark, d, "events").select("event_id", tx.progress_bar(F.col("event_id"), F.lit(5000)).alias("bar"))
+
+
 @query("""SELECT page_id, '"' || replace(replace(replace(replace(replace(replace(replace(html, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e'), '&', chr(92) || 'u0026') || '"' AS quoted FROM pages""")
 def json_quote_pages(spark, d):
     return table(spark, d, "pages").select("page_id", tx.json_quote(F.col("html")).alias("quoted"))
