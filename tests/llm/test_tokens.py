@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import pickle
 import struct
 import zlib
 
@@ -30,7 +31,7 @@ def ids(text):
 
 @pytest.mark.parametrize("text", HARD)
 def test_automaton_agrees(text):
-    encode, decode = bpe.encoder(PATH), bpe.decoder(PATH)
+    encode, decode = bpe.codec(PATH).encode, bpe.codec(PATH).decode
     (got,) = encode([text])
     assert np.frombuffer(got, "<u4").tolist() == ids(text)
     assert decode(got) == LIBRARY.decode(ids(text), skip_special_tokens=False)
@@ -39,7 +40,7 @@ def test_automaton_agrees(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40) | st.text("abcdef '\n", max_size=40), min_size=1, max_size=4))
 def test_any_text_agrees(texts):
-    encode, decode = bpe.encoder(PATH), bpe.decoder(PATH)
+    encode, decode = bpe.codec(PATH).encode, bpe.codec(PATH).decode
     one = tokenfile.encoder(PATH)
     want = [ids(t) for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
@@ -48,7 +49,7 @@ def test_any_text_agrees(texts):
 
 
 def test_broken_bytes_decode_as_the_library_does():
-    decode = bpe.decoder(PATH)
+    decode = bpe.codec(PATH).decode
     for token in range(0, 50257, 371):
         assert decode(np.array([token, 220], "<u4").tobytes()) == LIBRARY.decode([token, 220], skip_special_tokens=False)
 
@@ -60,6 +61,23 @@ def test_automaton_by_hand():
     assert [m.encode(b"a" * n) for n in range(1, 6)] == [[0], [1], [2], [1, 1], [1, 2]]
 
 
+def test_table_has_the_arcs_that_the_gadgets_leave():
+    spec, _, labels = bpe._file(PATH)
+    ids_of = spec["model"]["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    merges = [(ids_of[a], ids_of[b], ids_of[a + b]) for a, b in pairs]
+    gadgets, table = bpe.Gadgets(labels, merges), pickle.loads(pickle.dumps(bpe.codec(PATH).automaton))
+    made = np.array(list(gadgets.made.values()))
+    assert len(made) == len(labels) and len(table.begin) < 20_000 and len(table.bounds) < 1_000_000
+    rng = np.random.default_rng(3)
+    short = made[made < 2000]
+    for some in (made, short):
+        for s, t in rng.choice(some, (20_000, 2)).tolist():
+            assert table.open(s, t) == gadgets._open(s, t, bpe._NEVER - 1)
+    for u, v, _ in merges[::7]:
+        assert not table.open(u, v)
+
+
 def test_memo_is_bounded():
     memo = PieceMemo(lambda ps: [p.encode() for p in ps], most=3)
     for words in (["a", "b"], ["c", "d"], ["a", "b", "c", "d", "e"]):

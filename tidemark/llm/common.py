@@ -76,24 +76,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
-_HELD: dict[str, list] = {}
-
-
-def hold(owner: str, cache):
-    """Register a cache of this process under its operator, and empty those of other operators.
-
-    Python workers are reused by one stage after the other; so a worker never keeps more than one operator's memory.
-    """
-    for name, caches in _HELD.items():
-        if name != owner:
-            for c in caches:
-                c.clear()
-    known = _HELD.setdefault(owner, [])
-    if not any(c is cache for c in known):
-        known.append(cache)
-    return cache
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of ``edges``; comp is the smallest node reachable.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_broadcast, connected_components, hold, materialize, release
+from tidemark.llm.common import bounded_broadcast, connected_components, materialize, release
 
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
@@ -35,16 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, emptied when full."""
+    """word (bytes) -> 64-bit hash, emptied at 50,000 words (under 10 MB)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) >= 50_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
     def array(self, words: list[bytes]) -> np.ndarray:
-        hold("near", self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

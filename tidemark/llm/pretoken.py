@@ -8,22 +8,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Fixed value: the split pattern that the byte-level vocabulary was made with.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 #: Texts of these characters only are split by the standard library: there \w, \d and \s agree with the
-#: Unicode classes of PATTERN.  Control characters that only Python calls white space are outside.
+#: Unicode classes of the byte-level split pattern, which _FAST writes in their terms.  Control characters that only Python calls white space are outside.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xc0-ɏ‐-‧‰-⁞]*\Z")
 _FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
-def piece_finder(pre_tokenizer):
-    """A function text -> list of pieces (str).  Unusual characters go through the library's own splitter."""
+def piece_finder(library):
+    """A function text -> list of pieces (str).  Unusual characters go through the library's own splitter, which
+    ``library()`` makes when it is first needed."""
+    made: list = []
 
     def pieces(text: str) -> list[str]:
         if _PLAIN.match(text):
             return _FAST.findall(text)
-        return [text[a:b] for _, (a, b) in pre_tokenizer.pre_tokenize_str(text)]
+        if not made:
+            made.append(library())
+        return [text[a:b] for _, (a, b) in made[0].pre_tokenize_str(text)]
 
     return pieces
 

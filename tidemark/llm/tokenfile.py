@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hold, store
+from tidemark.llm.common import store
 from tidemark.llm.pretoken import PieceMemo, blocks, piece_finder
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
@@ -44,13 +44,13 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         byte_level = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
         added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
-        self.pieces = piece_finder(self.tokenizer.pre_tokenizer) if byte_level else None
+        self.pieces = piece_finder(lambda: self.tokenizer.pre_tokenizer) if byte_level else None
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = {s: np.uint32(i).tobytes() for s, i in added.items()}
         self.opens = np.zeros(self.size, bool)  # tokens that begin with a space
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[i] = token.startswith("Ġ")
-        self.memo = PieceMemo(self._pieces)
+        self.memo = PieceMemo(self._pieces, most=300_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece.  " word" pieces are given to the library in runs: it splits them at the same spaces."""
@@ -70,7 +70,6 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        hold("tokenfile", self.memo)
         if self.pieces is None:
             return self._library([t or "" for t in texts])
         return self.memo.encode(texts, self.pieces, self.special, self.added)

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hold
 from tidemark.llm.pretoken import blocks
 
 _TERM = re.compile(r"\w+")
@@ -43,7 +42,8 @@ def term_hashes(text: str | None) -> set[int]:
 
 @dataclass
 class Machine:
-    """Only terms with a weight or factors are kept: ``places`` maps a hash to its row in ``w`` and ``v``."""
+    """Only terms with a weight or factors are kept: ``places`` maps a hash to its row in ``w`` and ``v``.  ``known`` is each
+    process's own memo of words and goes with the broadcast."""
 
     places: dict[int, int]
     b: float
@@ -51,10 +51,12 @@ class Machine:
     v: np.ndarray
     known: dict = field(default_factory=dict, repr=False)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         places, known = self.places, self.known
-        hold(f"toxicity {id(self)}", known)
-        if len(known) > 100_000:
+        if len(known) >= 50_000:
             known.clear()
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
