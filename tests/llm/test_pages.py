@@ -4,7 +4,10 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -117,6 +120,85 @@ def test_odd_markup(markup, want):
     assert html.main_text(markup) == want
 
 
+TEXT = f"<p>{LONG}</p>" * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="content no-sidebar">{}</div></body>',
+        '<body><div class="layout with-sidebar">{}<div class="sidebar"><p>Popular things, of all kinds.</p></div></div></body>',
+        '<body><div class="side-by-side">{}</div></body>',
+        "<body><form>{}<input><select><option>One</select></form></body>",
+        '<body><div class="search-page"><h1 hidden>Title</h1>{}</div></body>',
+        "<body><div><svg><path d='1'></div><article>{}</article></body>",
+        "<body><svg><path d='1'><article>{}</article></body>",
+        "<body><div><object data=x>Your browser, sadly, shows nothing.</div>{}</body>",
+        "<body><noscript><p>Switch it on, please.</p></noscript><div><noscript>left open</div>{}</body>",
+        '<body><div class="comments"><p>I disagree, strongly, with it.</p></div><div>{}</div></body>',
+    ],
+)
+def test_wrappers_are_no_reason_to_lose_the_article(page):
+    assert html.main_text(page.format(TEXT)) == "\n".join([LONG] * 4)
+
+
+def test_a_page_of_notices_has_no_main_text():
+    assert html.main_text('<body><div class="cookie-notice"><p>We use cookies, as you know, everywhere.</p></div><nav>Home</nav></body>') == ""
+
+
+@pytest.mark.parametrize("markup", ["<div>x, y." * 20_000, '<p title="x>' + "<b>z" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<i>" * 20_000 + "</b>" * 20_000, "<noscript>a" * 20_000, "<li>a, b" * 20_000])
+def test_odd_markup_is_read_in_linear_time(markup):
+    began = time.process_time()
+    html.main_text(markup)
+    assert time.process_time() - began < 5
+
+
+class Plain(HTMLParser):
+    """The article's blocks by the standard library's parser, for well-formed pages with an article element."""
+
+    def __init__(self, markup):
+        super().__init__()
+        self.inside, self.skip, self.out = 0, [], [""]
+        self.feed(markup)
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        outside = tag in ("aside", "nav", "footer", "form", "script", "style", "button") or any(k == "class" and re.search(r"\b(ad|advert|promo|comments?|share|related|notice|newsletter)\b", v or "") for k, v in attrs)
+        if tag not in html.VOID:
+            self.skip.append(outside or bool(self.skip and self.skip[-1]))
+        if tag in html.BLOCK:
+            self.out.append("")
+        if tag == "br":
+            self.out[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag not in html.VOID and self.skip:
+            self.skip.pop()
+        if tag in html.BLOCK:
+            self.out.append("")
+
+    def handle_data(self, data):
+        if self.inside and not (self.skip and self.skip[-1]):
+            self.out[-1] += data
+
+
+def test_against_a_plain_extractor():
+    """Random well-formed pages: the article is what a parser that knows the article element returns."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice([".", "?", ", and more."])
+    for _ in range(200):
+        own = [f"<h1>{sentence(4)}</h1>"]
+        for _ in range(rng.randint(3, 12)):
+            t = sentence(rng.randint(12, 40)).replace(" ", ", ", 2)
+            own.append(rng.choice([f"<p>{t}</p>", f"<p>{t[:20]}<b>{t[20:30]}</b>{t[30:]} &amp; <a href='/x'>{word()}</a></p>", f"<h2>{sentence(3)}</h2><p>{t}</p>", f"<ul><li>{t}</li><li>{sentence(5)}</li></ul>", f"<blockquote><p>{t}</p></blockquote>", f"<div class='ad'><p>{sentence(6)}</p></div><p>{t}</p>"]))
+        links = "".join(f"<li><a href='/{word()}'>{word()} {word()}</a></li>" for _ in range(rng.randint(2, 9)))
+        page = f"<html><head><title>{sentence(3)}</title></head><body><header><h2>{word()}</h2></header><nav><ul>{links}</ul></nav><div class='sidebar'><p>{sentence(20)}</p></div><article>{''.join(own)}</article><section class='comments'><p>{sentence(25)}</p></section><footer><p>{sentence(9)}</p></footer></body></html>"
+        want = "\n".join(x for x in (" ".join(b.split()) for b in Plain(page).out) if x)
+        assert html.main_text(page) == want
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "<p>" + "word, " * 50_000, 5), (1, "u", PAGE, 5)], PAGES)
     rows = html.extract(df).collect()
