@@ -125,7 +125,7 @@ def test_rejected_and_corrupt_are_passed_over(spark, tmp_path):
 
     d = delivery.Dispatcher(sink, EngineConfig(batch_size=2), sleep=lambda s: None)
     delivery.deliver(stream(spark, tmp_path), d, str(tmp_path / "ck")).awaitTermination()
-    assert d.rejects == [0, 1] and d.counters["corrupt_skips"] == 1 and got == [2, 1] and d.counters["committed"] == 6
+    assert list(d.rejects) == [0, 1] and d.counters["corrupt_skips"] == 1 and got == [2, 1] and d.counters["committed"] == 6
 
 
 def test_unfinished_batches_come_again(spark, tmp_path):
@@ -144,6 +144,32 @@ def test_unfinished_batches_come_again(spark, tmp_path):
     assert seen == [3, 3]
 
 
+def test_recovery_cuts_clamps_and_prunes(tmp_path):
+    put(tmp_path, 0, 3)
+    put(tmp_path, 3, 2, 3)
+    data = put(tmp_path, 5, 4, 5)
+    last = tmp_path / "segment-000000000005.wal"
+    last.write_bytes(data + b"\x57\x53\x01junk")
+    frames.write_checkpoint(str(tmp_path), 4)
+    assert frames.recover(str(tmp_path)) == 7 and last.read_bytes() == data
+    assert sorted(f for f in os.listdir(tmp_path) if f.endswith(".wal")) == ["segment-000000000003.wal", "segment-000000000005.wal"]
+    assert frames.recover(str(tmp_path)) == 0 and frames.read_checkpoint(str(tmp_path)) == 4
+    last.write_bytes(data[:-1])
+    frames.write_checkpoint(str(tmp_path), 9)
+    assert frames.recover(str(tmp_path)) == len(data) // 4 - 1 and frames.read_checkpoint(str(tmp_path)) == 8
+    assert frames.prune(str(tmp_path)) == [] and len(frames.classify(str(tmp_path))) == 1  # the newest stays
+
+
+def test_stream_sees_what_is_appended(spark, tmp_path):
+    put(tmp_path, 0, 3)
+    reader = frames._StreamReader(str(tmp_path), 0)
+    assert reader.latestOffset() == {"offset": 3}
+    whole = put(tmp_path, 0, 7)
+    assert reader.latestOffset() == {"offset": 7} and reader.seen == (0, len(whole), 7)
+    put(tmp_path, 7, 2, 7)
+    assert reader.latestOffset() == {"offset": 9} and reader.latestOffset() == {"offset": 9}
+
+
 def test_backoff_stays_within_bounds():
     rng, delay = random.Random(1), 0.0
     for _ in range(200):
@@ -162,3 +188,6 @@ def test_fan_out_runs_after_the_append(spark):
     each = delivery.fan_out({"all": ("", ""), "warn": ("B", "warn")}, lambda n, r: (order.append(n), given.update({n: [x.offset for x in r]})), lambda df, i: order.append("append"))
     each(rows, 0)
     assert given == {"all": [0, 1], "warn": [1]} and order[0] == "append"
+    lost = {}
+    delivery.fan_out({"all": ("", "")}, lambda n, r: given.update({n: [x.offset for x in r]}), queue=1, dropped=lost.__setitem__)(rows, 1)
+    assert given["all"] == [0] and lost == {"all": 1}

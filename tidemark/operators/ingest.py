@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import json as js
 from tidemark.functions.text import first_of, trim
 from tidemark.model import MAX_BATCH_BYTES, MAX_BATCH_ITEMS, MAX_LINE_BYTES, MAX_PAYLOAD_BYTES, MAX_SINGLE_BODY_BYTES, MAX_TOPIC_BYTES, Headers
+from tidemark.operators import scratch
 
 
 def is_ndjson(content_type: Column) -> Column:
@@ -178,17 +179,20 @@ def rejects(judged: DataFrame, src: str, raw: str) -> DataFrame:
 def assign(accepted: DataFrame, order: list[str], now_nanos: int, last_id: int = 0, next_offset: int = 0) -> DataFrame:
     """Dense offsets and ids in the given order, without moving all rows to one task.
 
-    Rows are range-partitioned; each partition's count (one number per partition) gives the others their base.
+    Rows are range-partitioned and written once, each with its partition and its place in it; the partitions' counts
+    (one number each) give every partition its base.  Counting and numbering read that table: planned twice, the
+    exchange would sample other bounds or be coalesced otherwise.  The result reads the table too; ``scratch.drop``
+    deletes it when the result has been written.
     """
-    spark = accepted.sparkSession
     laid = accepted.repartitionByRange(*order).sortWithinPartitions(*order)
-    laid = laid.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    counts = sorted((r["_p"], r["count"]) for r in laid.groupBy("_p").count().collect())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    laid = scratch.stage(laid.select("*", F.spark_partition_id().alias("_p"), place.alias("_m")), "assign")
     base, rows = next_offset, []
-    for p, n in counts:
-        rows.append((p, base))
-        base += n
-    start = F.broadcast(spark.createDataFrame(rows or [(0, next_offset)], "_p int, _base long"))
-    within = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    out = laid.join(start, "_p").withColumn("offset", F.col("_base") + within)
-    return out.withColumns({"id": F.col("offset") - next_offset + last_id + 1, "ts_nanos": F.lit(now_nanos).cast("long")}).drop("_p", "_m", "_base")
+    for r in sorted(laid.groupBy("_p").count().collect()):
+        rows.append((r["_p"], base))
+        base += r["count"]
+    start = F.broadcast(accepted.sparkSession.createDataFrame(rows or [(0, next_offset)], "_p int, _base long"))
+    out = laid.join(start, "_p").withColumn("offset", F.col("_base") + F.col("_m"))
+    out = out.withColumns({"id": F.col("offset") - next_offset + last_id + 1, "ts_nanos": F.lit(now_nanos).cast("long")}).drop("_p", "_m", "_base")
+    out._stored_at = laid._stored_at
+    return out

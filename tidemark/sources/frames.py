@@ -104,6 +104,49 @@ def write_checkpoint(path: str, offset: int) -> None:
     fs.move(tmp, f"{base}/{CHECKPOINT}")
 
 
+def recover(path: str) -> int:
+    """Before appending: cut every segment to its good prefix, clamp a checkpoint beyond the log's end, and prune.
+    Returns the bytes cut off.  A segment is replaced in one step, by a rename."""
+    fs, _ = _store(path)
+    parts, lost, end = classify(path), 0, 0
+    for part in parts:
+        good = 0
+        end = part.base
+        with fs.open_input_stream(part.file, compression=None) as f:
+            for pos, r in walk(f, part.size):
+                good, end = pos + r["length"], end + 1
+        if good < part.size:
+            lost += part.size - good
+            _cut(fs, part.file, good)
+    if parts and read_checkpoint(path) > end:
+        fs.delete_file(f"{_store(path)[1]}/{CHECKPOINT}")
+        write_checkpoint(path, end)
+    prune(path)
+    return lost
+
+
+def _cut(fs, file: str, size: int, chunk: int = 1 << 20) -> None:
+    folder, _, name = file.rpartition("/")
+    tmp = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_input_stream(file, compression=None) as f, fs.open_output_stream(tmp, compression=None) as out:
+        while size > 0 and (data := f.read(min(chunk, size))):
+            out.write(data)
+            size -= len(data)
+    fs.move(tmp, file)
+
+
+def prune(path: str) -> list[str]:
+    """Delete the leading segments whose records are all before the checkpoint; the newest stays.  Returns their names."""
+    fs, _ = _store(path)
+    parts, committed, gone = classify(path), read_checkpoint(path), []
+    for part, after in zip(parts[:-1], parts[1:], strict=True):
+        if after.base > committed:
+            break
+        fs.delete_file(part.file)
+        gone.append(part.file.rpartition("/")[2])
+    return gone
+
+
 @dataclass
 class Segment(InputPartition):
     base: int
@@ -174,6 +217,7 @@ class _StreamReader(DataSourceStreamReader):
 
     def __init__(self, path: str, most: int):
         self.path, self.most, self.at = path, most, None
+        self.seen = (-1, 0, 0)  # base of the last segment, bytes and records of it that were walked
 
     def initialOffset(self):
         return {"offset": read_checkpoint(self.path)}
@@ -182,9 +226,16 @@ class _StreamReader(DataSourceStreamReader):
         parts = classify(self.path)
         if not parts:
             return self.initialOffset()
+        last = parts[-1]
+        at, n = self.seen[1:] if self.seen[0] == last.base and self.seen[1] <= last.size else (0, 0)
         fs, _ = _store(self.path)
-        with fs.open_input_stream(parts[-1].file, compression=None) as f:
-            end = parts[-1].base + sum(1 for _ in walk(f, parts[-1].size))
+        with fs.open_input_file(last.file) as f:  # only what was added since
+            f.seek(at)
+            grown = 0
+            for pos, r in walk(f, last.size - at):
+                n, grown = n + 1, pos + r["length"]
+        self.seen = (last.base, at + grown, n)
+        end = last.base + n
         start = read_checkpoint(self.path) if self.at is None else self.at
         self.at = max(start, min(end, start + self.most)) if self.most > 0 else end
         return {"offset": self.at}
@@ -251,7 +302,8 @@ class _Writer(DataSourceWriter):
 
 
 class FrameLog(DataSource):
-    """``spark.read.format("framelog").option("path", dir)``; options: from_offset, segmented, records_per_batch."""
+    """``spark.read.format("framelog").option("path", dir)``; options: from_offset, segmented, records_per_batch (100,000;
+    0: the whole backlog)."""
 
     @classmethod
     def name(cls):
@@ -264,7 +316,7 @@ class FrameLog(DataSource):
         return _Reader(self.options["path"], int(self.options.get("from_offset", 0)), self.options.get("segmented", "true").lower() == "true")
 
     def streamReader(self, schema):
-        return _StreamReader(self.options["path"], int(self.options.get("records_per_batch", 0)))
+        return _StreamReader(self.options["path"], int(self.options.get("records_per_batch", 100_000)))
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], schema.names)

@@ -7,6 +7,7 @@ import random
 import time
 import urllib.error
 import urllib.request
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.model import EngineConfig
+from tidemark.model import SUBSCRIBER_QUEUE, EngineConfig
 from tidemark.operators import hub, log
 
 
@@ -26,6 +27,10 @@ class Transient(Exception):
     """The sink may take it later."""
 
 
+class OutOfTime(Exception):
+    """The time for the final drain is over."""
+
+
 def classify_status(status: int | None) -> str:
     """ok, permanent or transient."""
     if status is None:
@@ -72,9 +77,11 @@ def console_sink(items: list[str], timeout: float) -> None:
 class Dispatcher:
     """Delivers micro-batches in order of offset, at most ``config.batch_size`` records at a time.
 
-    A micro-batch counts as done only when all of its batches were taken or rejected, so a crash repeats it.
-    Rejected batches are counted and passed over; they are kept in ``rejects`` (a list of offsets), an extension.
-    Anything else the sink raises is tried again after a growing delay, ``max_attempts`` times (0: for ever).
+    ``on_commit`` is told the next offset after each batch that was taken or rejected.  Within a streaming query a
+    micro-batch counts as done only when all of its batches are, so a crash repeats it.  Rejected batches are counted
+    and passed over; ``rejects`` has the offsets of the last 10,000 rejected records, an extension.  Anything else the
+    sink raises is tried again after a growing delay, ``max_attempts`` times (0: for ever), until ``until``
+    (``time.monotonic``), if given.
     """
 
     sink: Callable[[list[str], float], None]
@@ -83,13 +90,16 @@ class Dispatcher:
     sleep: Callable[[float], None] = time.sleep
     rng: random.Random = field(default_factory=random.Random)
     counters: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("delivered", "committed", "delivery_attempts", "retries", "sink_errors", "permanent_rejections", "corrupt_skips"), 0))
-    rejects: list[int] = field(default_factory=list)
+    rejects: deque[int] = field(default_factory=lambda: deque(maxlen=10_000))
+    on_commit: Callable[[int], None] | None = None
+    until: float | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` function over records (offset, id, ts_nanos, topic, payload, crc_ok)."""
         rows = batch.persist()
         try:
-            bad = rows.where(~F.col("crc_ok")).count()
+            ends = rows.agg(F.count_if(~F.col("crc_ok")).alias("bad"), F.max("offset").alias("last")).first()
+            bad = ends["bad"]
             self.counters["corrupt_skips"] += bad
             self.counters["committed"] += bad
             good = rows.where("crc_ok")
@@ -102,12 +112,16 @@ class Dispatcher:
                 held.append(r)
             if held:
                 self._send(held)
+            if bad and self.on_commit:  # a corrupt record may be the last
+                self.on_commit(ends["last"] + 1)
         finally:
             rows.unpersist()
 
     def _send(self, rows: list) -> None:
         delay, tries = self.config.initial_backoff_s, 0
         while True:
+            if self.until is not None and time.monotonic() >= self.until:
+                raise OutOfTime
             self.counters["delivery_attempts"] += 1
             tries += 1
             try:
@@ -128,6 +142,8 @@ class Dispatcher:
                 self.counters["delivered"] += len(rows)
                 break
         self.counters["committed"] += len(rows)
+        if self.on_commit:
+            self.on_commit(rows[-1]["offset"] + 1)
 
 
 def deliver(records: DataFrame, dispatcher: Dispatcher, checkpoint: str, until_drained: bool = True) -> StreamingQuery:
@@ -142,9 +158,10 @@ def live_tail(entries: DataFrame, service: str = "", level: str = "") -> DataFra
     return hub.live_filter(entries, service, level)
 
 
-def fan_out(subscribers: dict[str, tuple[str, str]], give: Callable[[str, list], None], then: Callable[[DataFrame, int], None] | None = None):
+def fan_out(subscribers: dict[str, tuple[str, str]], give: Callable[[str, list], None], then: Callable[[DataFrame, int], None] | None = None, queue: int = SUBSCRIBER_QUEUE, dropped: Callable[[str, int], None] | None = None):
     """``foreachBatch`` function: first ``then`` (such as the append to a table), and only if it succeeded every
-    subscriber (name -> (service, level)) is given its matching rows."""
+    subscriber (name -> (service, level)) is given its matching rows: the first ``queue`` of the micro-batch, as a
+    bounded subscriber's queue holds them.  ``dropped`` is told how many were beyond."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
@@ -152,7 +169,11 @@ def fan_out(subscribers: dict[str, tuple[str, str]], give: Callable[[str, list],
             if then is not None:
                 then(rows, batch_id)
             for name, (service, level) in subscribers.items():
-                give(name, hub.live_filter(rows, service, level).orderBy("offset").collect())
+                matching = hub.live_filter(rows, service, level)
+                got = matching.orderBy("offset").limit(queue).collect()
+                give(name, got)
+                if dropped is not None and len(got) == queue:
+                    dropped(name, matching.count() - queue)
         finally:
             rows.unpersist()
 
