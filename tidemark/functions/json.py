@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 _SPACE = " \t\n\r"
 _PADDING = "\t\n\v\f\r \x85\xa0                　"
 _STRING_END = re.compile(r'(?:[^"\\]|\\.)*+"', re.DOTALL)
-_SCALAR = re.compile(r"[^,}\] \t\n\r]*+")
+#: One member of an object: key, colon, then a string or a scalar and a comma if there is one, or the begin of a container.
+_BLANK, _BODY = r"[ \t\n\r]*+", r'((?:[^"\\]|\\.)*+)"'
+_MEMBER = re.compile(rf'{_BLANK}"{_BODY}{_BLANK}:{_BLANK}(?:(?:"{_BODY}|(?!["{{\[])[^,}}\] \t\n\r]*+){_BLANK},?+|(?=([{{\[])))', re.DOTALL)
+_NEXT, _GAP = re.compile(rf"{_BLANK},?+"), re.compile(_BLANK)
 _STRUCTURE = re.compile(r'["{}\[\]]')
 _SIMPLE = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\", '"': '"'}
 _QUOTED = re.compile(r"\\(?:([abfnrtv\\\"])|x([0-9a-fA-F]{2})|([0-7]{3})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8}))|([^\\\n])", re.DOTALL)
@@ -49,9 +52,7 @@ def unquote(body: str) -> str:
 
 
 def _skip(text: str, at: int) -> int:
-    while at < len(text) and text[at] in _SPACE:
-        at += 1
-    return at
+    return _GAP.match(text, at).end()
 
 
 def _container_end(text: str, at: int) -> int:
@@ -73,35 +74,18 @@ def _container_end(text: str, at: int) -> int:
 def scan_metadata(topic: str, payload: str) -> tuple[str, str, str]:
     """(trace_id, service, level) of a payload; service falls back to the topic, level to INFO."""
     text, got = (payload or "").strip(_PADDING), {}
-    at, size = 1, len(text)
-    while len(text) >= 2 and text[0] == "{" and at < size:
-        at = _skip(text, at)
-        key = _STRING_END.match(text, at + 1) if at < size and text[at] == '"' else None
-        if key is None:
-            break
-        name = text[at + 1 : key.end() - 1]
-        at = _skip(text, key.end())
-        if at >= size or text[at] != ":":
-            break
-        at = _skip(text, at + 1)
-        if at >= size:
-            break
-        if text[at] == '"':
-            value = _STRING_END.match(text, at + 1)
-            if value is None:
-                break
-            raw = text[at + 1 : value.end() - 1]
-            got[name] = unquote(raw) if "\\" in raw else raw
-            at = value.end()
-        elif text[at] in "{[":
+    member = _MEMBER.match(text, 1) if text.startswith("{") else None
+    while member:
+        name, value, container = member.groups()
+        at = member.end()
+        if container:
             at = _container_end(text, at)
             if at < 0:
                 break
-        else:
-            at = _SCALAR.match(text, at).end()
-        at = _skip(text, at)
-        if at < size and text[at] == ",":
-            at += 1
+            at = _NEXT.match(text, at).end()
+        elif value is not None:
+            got[name] = unquote(value) if "\\" in value else value
+        member = _MEMBER.match(text, at)
     pick = lambda *names: next((got[n] for n in names if got.get(n)), "")
     return pick("trace_id", "traceId"), pick("service") or topic, pick("level", "severity") or "INFO"
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.model import LEVEL_RANKS, MAX_TRACKED_TOPIC_BYTES, OVERFLOW_TOPIC
 
+DEFAULT_ADDRESS = "http://127.0.0.1:9099"  # fixed value
+
 #: Fixed value: Unicode white space.
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -123,3 +125,16 @@ def outcome(status: Column, failed: Column) -> Column:
         .when(status.between(400, 499), "permanent")
         .otherwise("transient")
     )
+
+
+def service_address(raw: str) -> str:
+    """Base address of a log service: the default if empty, http unless a scheme is given, without slashes at the end.
+    Other schemes, and addresses without a host, are refused."""
+    from urllib.parse import urlsplit
+
+    address = raw.strip() or DEFAULT_ADDRESS
+    address = address if "://" in address else f"http://{address}"
+    parts = urlsplit(address)
+    if parts.scheme not in ("http", "https") or not parts.netloc:
+        raise ValueError(f"no http or https address: {raw!r}")
+    return f"{parts.scheme}{address[address.index(':') :]}".rstrip("/")

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import EngineConfig
-from tidemark.operators import hub
+from tidemark.operators import hub, scratch
 from tidemark.plans.queries import RAW_SQL, records, table
 from tidemark.sources import frames
 from tidemark.streaming import delivery
 
+SEGMENT = 1 << 20
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,40 +28,34 @@ def _query(sql: str | None = None):
     return add
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _logged(spark, d, n: int = 2000) -> DataFrame:
-    """The first ``n`` events as log records: the feature under test is the file round trip."""
-    r = records(spark, d).where(F.col("offset") < n)
+def _logged(spark, d) -> DataFrame:
+    """All events as log records."""
+    r = records(spark, d)
     return r.select("offset", "id", (F.col("offset") * 1000).alias("ts_nanos"), "topic", F.col("payload").cast("binary").alias("payload"))
 
 
-@_query(f"""WITH {RAW_SQL} SELECT "offset", id, "offset" * 1000 AS ts_nanos, topic, payload, CAST(29 + strlen(topic) + strlen(payload) AS INTEGER) AS length, true AS crc_ok FROM ent WHERE "offset" < 2000""")
+@_query(f"""WITH {RAW_SQL} SELECT "offset", id, "offset" * 1000 AS ts_nanos, topic, payload, CAST(29 + strlen(topic) + strlen(payload) AS INTEGER) AS length, true AS crc_ok FROM ent""")
 def frame_round_trip(spark, d):
-    path = _folder(spark, "frames")
-    frames.write_log(_logged(spark, d), path, 16_384)
+    path = scratch.scratch_path(spark, "frames")
+    frames.write_log(_logged(spark, d), path, SEGMENT)
     got = spark.read.format("framelog").option("path", path).load()
     return got.select("offset", "id", "ts_nanos", "topic", F.col("payload").cast("string").alias("payload"), "length", "crc_ok")
 
 
-@_query(f"""WITH {RAW_SQL} SELECT "offset", id FROM ent WHERE "offset" >= 1500 AND "offset" < 2000""")
+@_query(f"""WITH {RAW_SQL} SELECT "offset", id FROM ent WHERE "offset" >= 700""")
 def frame_scan_from_offset(spark, d):
-    path = _folder(spark, "frames")
-    frames.write_log(_logged(spark, d), path, 16_384)
-    return spark.read.format("framelog").option("path", path).option("from_offset", 1500).load().select("offset", "id")
+    path = scratch.scratch_path(spark, "frames")
+    frames.write_log(_logged(spark, d), path, SEGMENT)
+    return spark.read.format("framelog").option("path", path).option("from_offset", 700).load().select("offset", "id")
 
 
-@_query("""SELECT CAST(500 AS BIGINT) AS delivered, CAST(500 AS BIGINT) AS committed, CAST(10 AS BIGINT) AS delivery_attempts, CAST(0 AS BIGINT) AS retries, CAST(500 AS BIGINT) AS checkpoint""")
+@_query("""SELECT count(*) AS delivered, count(*) AS committed, CAST(ceil(count(*) / 50) AS BIGINT) AS delivery_attempts, CAST(0 AS BIGINT) AS retries, max(event_id) + 1 AS checkpoint FROM events""")
 def delivery_counters(spark, d):
-    path = _folder(spark, "frames")
-    frames.write_log(_logged(spark, d, 500), path, 16_384)
-    stream = spark.readStream.format("framelog").option("path", path).load()
+    path = scratch.scratch_path(spark, "frames")
+    frames.write_log(_logged(spark, d), path, SEGMENT)
+    stream = spark.readStream.format("framelog").option("path", path).option("records_per_batch", 0).load()
     dispatcher = delivery.Dispatcher(lambda items, timeout: None, EngineConfig(batch_size=50))
-    q = delivery.deliver(stream, dispatcher, _folder(spark, "delivery"))
+    q = delivery.deliver(stream, dispatcher, scratch.scratch_path(spark, "delivery"))
     q.awaitTermination()
     c = dispatcher.counters
     # the source is told of a finished batch when the next one is planned; drained, the driver commits the rest
@@ -77,7 +71,7 @@ def live_tail(spark, d):
     name = f"tail_{uuid.uuid4().hex}"
     rows = hub.normalise(hub.extract(_as_records(source), "fast"))
     seen = delivery.live_tail(rows, "SVC-4", "warn").select("offset", "service", "level")
-    q = seen.writeStream.format("memory").queryName(name).option("checkpointLocation", _folder(spark, "tail")).trigger(availableNow=True).start()
+    q = seen.writeStream.format("memory").queryName(name).option("checkpointLocation", scratch.scratch_path(spark, "tail")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.model import ConsoleFilter, Headers, LogQuery
-from tidemark.operators import hub, ingest, log, metrics, otlp, render
+from tidemark.operators import hub, ingest, log, metrics, otlp, render, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,17 +36,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores is dealt out, so that all of them take part; larger ones stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """offset, id, ts, topic, payload (text) of the events as they would be logged."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", " Warn ").when(F.col("event_type") == "signup", "Info").when(F.col("event_type") == "view", "debug")
     user = F.col("user_id").cast("string")
     payload = F.concat(F.lit('{"trace_id":"tr-'), user, F.lit('","service":"Svc-'), (F.col("user_id") % 7).cast("string"), F.lit('"'), F.coalesce(F.concat(F.lit(',"level":"'), level, F.lit('"')), F.lit("")), F.lit(',"props":'), F.col("props"), F.lit("}"))
     return e.select(F.col("event_id").alias("offset"), (F.col("event_id") + 1).alias("id"), "ts", F.col("event_type").alias("topic"), payload.alias("payload"))
 
 
-def entries(spark: SparkSession, sf_dir: str, parity: str = "fast") -> DataFrame:
-    return hub.normalise(hub.extract(records(spark, sf_dir), parity))
+#: (application, sf_dir) -> the table of entries that was written from it.
+_INGESTED: dict[tuple[str, str], str] = {}
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as the log holds them: metadata is extracted once, at ingest, and stored, so that the predicates of
+    queries reach the Parquet scan.  The first query over a folder writes the table."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INGESTED:
+        path = scratch.scratch_path(spark, "entries")
+        hub.normalise(hub.extract(records(spark, sf_dir), "fast")).write.parquet(path)
+        _INGESTED[key] = path
+    return spark.read.parquet(_INGESTED[key])
 
 
 SHOWN = ["pos", "offset", "id", "topic", "service", "trace_id", "level", "payload"]
