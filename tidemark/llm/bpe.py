@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -144,54 +143,107 @@ class Gadgets:
 
 
 class Automaton:
-    """The compiled table and the labels of its arcs.  labels: id -> bytes; merges: (left id, right id, new id) in order."""
+    """The compiled table and the labels of its arcs.  labels: id -> bytes; merges: (left id, right id, new id) in order.
+
+    ``keys``: row * ``width`` + bound, ascending, so that one binary search finds an arc's place in its row.  Labels are
+    matched by a trie: ``edges`` (node * 256 + byte, ascending) lead to the node of the same place plus one, and
+    ``ends`` has the token that ends at a node, or -1.
+    """
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         gadgets = Gadgets(labels, merges)
-        self.labels, self.made = labels, gadgets.made
-        self.number, self.row, self.begin, self.bounds = (array("i", x.tobytes()) for x in gadgets.rows())
-        self._prefixes()
-
-    def _prefixes(self) -> None:
-        #: every prefix of a token -> its id, or -1 if it is only a prefix
-        self.step = {b[:n]: -1 for b in self.made for n in range(1, len(b))} | self.made
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "step"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._prefixes()
-
-    def open(self, state: int, token: int) -> bool:
+        self.number, self.row, self.begin, bounds = gadgets.rows()
+        self.width = len(gadgets.made) + 2
+        self.keys = np.repeat(np.arange(len(self.begin) - 1, dtype=np.int64), np.diff(self.begin)) * self.width + bounds
+        self.length = np.zeros(len(self.row), np.int32)
+        for b, t in gadgets.made.items():
+            self.length[t] = len(b)
+        # nodes in the order of their parents and bytes, so that edges are ascending
+        nodes, level, edges, ends = {b"": 0}, [b""], [], [-1]
+        prefixes: dict[bytes, set[int]] = {}
+        for b in gadgets.made:
+            for n in range(len(b)):
+                prefixes.setdefault(b[:n], set()).add(b[n])
+        while level:
+            after = []
+            for p in level:
+                for byte in sorted(prefixes.get(p, ())):
+                    child = p + bytes([byte])
+                    edges.append(nodes[p] * 256 + byte)
+                    nodes[child] = len(nodes)
+                    ends.append(gadgets.made.get(child, -1))
+                    after.append(child)
+            level = after
+        self.edges, self.ends = np.array(edges, np.int64), np.array(ends, np.int32)
+
+    def open(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether the table has the arc ``token`` after ``state``."""
-        r = self.row[state]
-        return not bisect_right(self.bounds, self.number[token], self.begin[r], self.begin[r + 1]) & 1
-
-    def encode(self, word: bytes) -> list[int]:
-        """Ids of one pre-split word.  Every prefix of a word has one accepted path, so one token ends at each place."""
-        n, step, number, bounds = len(word), self.step, self.number, self.bounds
-        whole = step.get(word, -1)
-        if whole >= 0:
-            return [whole]
-        last = [-1] * (n + 1)
-        low = high = 0  # the first state has all arcs: an empty row
-        for i in range(n):
+        r = self.row[state].astype(np.int64)
+        return (np.searchsorted(self.keys, r * self.width + self.number[token], "right") - self.begin[r]) & 1 == 0
+
+    def encode(self, words: list[bytes], chunk: int = 1 << 17) -> list[bytes]:
+        """Packed ids (little-endian unsigned 32-bit) of each pre-split word, ``chunk`` bytes at a time."""
+        out: list[bytes] = []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // chunk, prepend=0)) + 1
+        edges = [0, *cuts.tolist(), len(words)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a < b:
+                out += self._encode(b"".join(words[a:b]), sizes[a:b])
+        return out
+
+    def _arcs(self, text: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, token) of every label that stands in the text and ends before ``behind`` its place."""
+        at, node, found = np.arange(len(text)), np.zeros(len(text), np.int64), []
+        n = 0
+        while len(at):
+            key = node * 256 + text[at + n]
+            to = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            ok = self.edges[to] == key
+            at, node, n = at[ok], to[ok] + 1, n + 1
+            token = self.ends[node]
+            whole = token >= 0
+            found.append((at[whole], token[whole]))
+            more = at + n < behind[at]
+            at, node = at[more], node[more]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _encode(self, data: bytes, sizes: np.ndarray) -> list[bytes]:
+        """Every prefix of a word has one accepted path, so one token ends at each place: ``last``.  The words take their
+        steps together: all arcs that begin at a word's byte 0, then those at byte 1, and so on."""
+        if not data:
+            return [b""] * len(sizes)
+        text = np.frombuffer(data, np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        full = sizes > 0
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        place, token = self._arcs(text, (starts + sizes)[word])
+        step = place - starts[word[place]]
+        order = np.argsort(step, kind="stable")
+        place, token = place[order], token[order]
+        upto = np.cumsum(np.bincount(step))
+        last = np.full(len(text), -1, np.int32)
+        for i, (a, b) in enumerate(zip([0, *upto[:-1]], upto, strict=True)):
+            p, t = place[a:b], token[a:b]
             if i:
-                r = self.row[last[i]]
-                low, high = self.begin[r], self.begin[r + 1]
-            for j in range(i + 1, n + 1):
-                token = step.get(word[i:j])
-                if token is None:
-                    break
-                # rows begin at even places
-                if token >= 0 and not bisect_right(bounds, number[token], low, high) & 1:
-                    last[j] = token
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i -= len(self.labels[last[i]])
-        return out[::-1]
+                state = last[p - 1]
+                if state.min(initial=0) < 0:
+                    raise ValueError("a byte that the vocabulary lacks")
+                ok = self.open(state, t)
+                p, t = p[ok], t[ok]
+            last[p + self.length[t] - 1] = t
+        on, at, first = np.zeros(len(text), bool), (starts + sizes - 1)[full], starts[full]
+        if last[at].min() < 0:
+            raise ValueError("a byte that the vocabulary lacks")
+        while len(at):
+            on[at] = True
+            at = at - self.length[last[at]]
+            left = at >= first
+            at, first = at[left], first[left]
+        packed = last[on].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(on)
+        to = np.maximum.accumulate(np.where(full, ends[starts + sizes - 1], 0)).tolist()
+        return [packed[x:y] for x, y in zip([0, *to[:-1]], to, strict=True)]
 
 
 def _file(path: str) -> tuple[dict, dict[str, int], dict[int, bytes]]:
@@ -220,8 +272,7 @@ class Codec:
 
     def _open(self) -> None:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        one = self.automaton.encode
-        self.memo = PieceMemo(lambda ps: [np.array(one(p.encode()), "<u4").tobytes() for p in ps], most=150_000)
+        self.memo = PieceMemo(lambda ps: self.automaton.encode([p.encode() for p in ps]), most=150_000)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("special", "memo")}
