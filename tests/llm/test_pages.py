@@ -18,7 +18,7 @@ PAGES = "page_id long, url string, html string, extra int"
 
 
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/", "x" * 5000, 0), (2, None, "", 0), (3, "http://c/%0A\n", None, 0), (9, "u", "é", 0), (4, "u", "é", 0), (4, "u", "é", 0), (None, "n", "é", 0), (7, "s", "solo", 0), (None, None, "alone", 0)]
+    rows = [(1, "http://a/x%20y", "x" * 5000, 0), (2, None, "", 0), (3, "http://c/%0A\n", None, 0), (9, "u", "é", 0), (4, "u", "é", 0), (4, "u", "é", 0), (None, "n", "é", 0), (7, "s", "solo", 0), (None, None, "alone", 0)]
     df = spark.createDataFrame(rows, PAGES)
     root = f"file://{tmp_path}/w"
     manifest = warc.write_archive(df, root, roll_bytes=300)
@@ -38,8 +38,15 @@ def test_warc_round_trip(spark, tmp_path):
     again = warc.write_archive(df.repartition(3), f"file://{tmp_path}/w2", roll_bytes=300)
     assert [f["sha256"] for f in again["files"]] == [f["sha256"] for f in manifest["files"]]  # the same bytes, however the rows lie
     assert not [f for f in os.listdir(tmp_path / "w") if f.startswith("_")]
-    text = gzip.decompress((tmp_path / "w" / manifest["files"][0]["file"]).read_bytes())
-    assert text.startswith(b"WARC/1.1\r\n")
+    text = b"".join(gzip.decompress((tmp_path / "w" / f["file"]).read_bytes()) for f in manifest["files"])
+    assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and text.count(b"WARC-Type: warcinfo") == len(manifest["files"])
+    assert b"WARC-Target-URI: http://a/x%20y\r\n" in text and b"WARC-Target-URI: http://c/%0A%0A\r\n" in text
+    own = dict(re.findall(rb"WARC-Record-ID: (\S+)\r\n(?:[^\r]+\r\n)*?X-Page-Id: (\d+)\r\n", text))
+    referred = re.findall(rb"WARC-Refers-To: (\S+)\r\nWARC-Refers-To-Date: 1970-01-01T00:00:00Z\r\nWARC-Refers-To-Target-URI: u\r\nX-Refers-To-Page-Id: 9\r\n", text)
+    assert len(referred) == 3 and all(own[x] == b"9" for x in referred)
+    con = duckdb.connect()
+    con.register("pages", df.toArrow())
+    assert sorted(con.sql(warc.ORACLE).fetchall(), key=str) == sorted((tuple(r) for r in warc.round_trip(df, f"file://{tmp_path}/w4").collect()), key=str)
     assert warc.round_trip(df.limit(0), f"file://{tmp_path}/w3").collect() == []
 
 

@@ -4,7 +4,7 @@ Records are range-sorted, written as one gzip member each, and rolled into files
 compressed bytes.  Headers and digests are regenerated from the payload.  A file is written under an attempt
 name and renamed when whole; ``MANIFEST.json``, written last, lists the files with their sizes and record
 counts, and a reader opens only what it lists.  The same table gives the same bytes: gzip headers carry no
-time, record ids are derived from the content, and ``date`` is a parameter.
+time, record ids are derived from the content, and ``date`` is a parameter.  Every file begins with a warcinfo record.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_broadcast, materialize, release, store
+from tidemark.llm.common import keyed_join, materialize, release, store
 from tidemark.llm.pretoken import blocks
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,26 +37,42 @@ def _record_id(page_id, url, payload_digest: str) -> str:
 
 
 def _clean(value: str) -> str:
-    """Header values hold no line ends; percent signs are escaped too, so that reading gives the url back."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """Header values hold no line ends; all else, percent signs included, stays as it is."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
-    """One gzip member: a response, or a revisit that names the page holding the same payload."""
+def _member(head: list[str], block: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress("\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+
+
+def info(name: str, date: str) -> bytes:
+    """The warcinfo record at the start of a file."""
+    block = b"format: WARC File Format 1.1\r\n"
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id(name, None, digest(block))}", f"WARC-Date: {date}", f"WARC-Filename: {name}"]
+    return _member([*head, f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/warc-fields"], block)
+
+
+def record(page_id, url, payload: bytes, holder: dict | None, date: str) -> bytes:
+    """One gzip member: a response, or a revisit that names the record (page_id, url) with the same payload."""
     own = digest(payload)
-    revisit = refers_to is not None
+    revisit = holder is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, url, own)}", f"WARC-Date: {date}"]
+    head = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, url, own)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
+        if _clean(url) != url:
+            head.append(f"X-Url-Base64: {base64.b64encode(url.encode()).decode()}")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"]
-    head += [f"WARC-Payload-Digest: sha1:{own}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(holder['page_id'], holder['url'], own)}", f"WARC-Refers-To-Date: {date}"]
+        if holder["url"] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_clean(holder['url'])}")
+        head.append(f"X-Refers-To-Page-Id: {holder['page_id']}")
+    head += [f"WARC-Payload-Digest: sha1:{own}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response"]
+    return _member(head, block)
 
 
 def members(stream, size: int = 1 << 20):
@@ -76,22 +92,34 @@ def members(stream, size: int = 1 << 20):
         raise ValueError("the archive ends inside a record")
 
 
-def parse(raw: bytes) -> dict:
-    """Fields of a record; both digests are checked."""
+def unpacked(member: bytes):
+    """The records of a member: one, unless a file was packed anew."""
+    while member:
+        head = member.partition(b"\r\n\r\n")[0]
+        length = next(int(line[16:]) for line in head.split(b"\r\n") if line.startswith(b"Content-Length: "))
+        end = len(head) + 4 + length + 4
+        yield member[:end]
+        member = member[end:]
+
+
+def parse(raw: bytes) -> dict | None:
+    """Fields of a record, None for a warcinfo record; both digests are checked."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     if f"sha1:{digest(block)}" != fields["WARC-Block-Digest"]:
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != size or f"sha1:{digest(payload)}" != fields["WARC-Payload-Digest"]):
         raise ValueError(f"damaged payload in {fields['WARC-Record-ID']}")
     number = lambda name: int(fields[name]) if name in fields else None
-    url = fields.get("WARC-Target-URI")
+    url = base64.b64decode(fields["X-Url-Base64"]).decode() if "X-Url-Base64" in fields else fields.get("WARC-Target-URI")
     return {
-        "page_id": number("X-Page-Id"), "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
+        "page_id": number("X-Page-Id"), "url": url,
         "payload": None if revisit else payload, "payload_bytes": size, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
         "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"),
     }
@@ -100,21 +128,26 @@ def parse(raw: bytes) -> dict:
 class _Roller:
     """Writes records to numbered files, a new one after ``roll_bytes``."""
 
-    def __init__(self, root: str, part: int, roll_bytes: int):
+    def __init__(self, root: str, part: int, roll_bytes: int, date: str):
         self.fs, self.base = store(root)
-        self.part, self.roll, self.n, self.out, self.made = part, roll_bytes, 0, None, []
+        self.part, self.roll, self.date, self.n, self.out, self.made = part, roll_bytes, date, 0, None, []
 
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.name = f"part-{self.part:06d}-{self.n:05d}.warc.gz"
             self.tmp = f"{self.base}/_{self.name}.{uuid.uuid4().hex}"
             self.out, self.size, self.rows, self.sha = self.fs.open_output_stream(self.tmp, compression=None), 0, 0, hashlib.sha256()
-        self.out.write(data)
-        self.sha.update(data)
-        self.size, self.rows = self.size + len(data), self.rows + 1
+            self._write(info(self.name, self.date))
+        self._write(data)
+        self.rows += 1
         if self.size >= self.roll:
             self.close()
 
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.sha.update(data)
+        self.size += len(data)
+
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
@@ -134,28 +167,27 @@ def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 0, roll_
     fs, base = store(root)
     fs.create_dir(base, recursive=True)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select(F.unhex(F.sha1(payload)).alias("sha"), "page_id", F.octet_length(payload).alias("size")).where(F.col("size") >= min_revisit_bytes)
-    holders = keyed.groupBy("sha").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1 and holder is not null").select("sha", "holder")
+    keyed = pages.select(F.unhex(F.sha1(payload)).alias("sha"), "page_id", "url", F.octet_length(payload).alias("size")).where(F.col("size") >= min_revisit_bytes)
+    holders = keyed.where("page_id is not null").groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("h")).select("sha", F.col("h.page_id").alias("holder"), F.col("h.url").alias("at"))
+    holders = holders.join(keyed.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1"), "sha")
     holders = materialize(holders, "warc-holders")
-    # narrow rows (page, payload) -> holder; they travel with the pages through the one exchange of payloads
-    notes = keyed.join(bounded_broadcast(holders, 64), "sha").where("page_id is null or page_id <> holder").select("page_id", "sha", "holder").distinct()
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", payload.alias("payload"), none("long").alias("holder")).unionByName(
-        notes.select("page_id", F.lit(0).alias("kind"), none("string").alias("url"), F.col("sha").alias("payload"), "holder")
+    # narrow rows (page, payload) -> holder and its url; they travel with the pages through the one exchange of payloads
+    notes = keyed_join(keyed.select("sha", "page_id"), holders, "sha", "n").where("page_id is null or page_id <> holder").distinct()
+    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", payload.alias("payload"), F.lit(None).cast("long").alias("holder")).unionByName(
+        notes.select("page_id", F.lit(0).alias("kind"), F.col("at").alias("url"), F.col("sha").alias("payload"), "holder")
     )
 
     def run(batches):
-        out, page, held = _Roller(root, TaskContext.get().partitionId(), roll_bytes), None, {}
+        out, page, held = _Roller(root, TaskContext.get().partitionId(), roll_bytes, date), None, {}
         for batch in batches:
             for a, n in blocks(batch.column(3)):
                 for page_id, kind, url, data, holder in zip(*(c.to_pylist() for c in batch.slice(a, n).columns), strict=True):
                     if page_id != page:
                         page, held = page_id, {}
                     if kind == 0:
-                        held[data] = holder
+                        held[data] = {"page_id": holder, "url": url}
                     else:
-                        refers = held.get(hashlib.sha1(data, usedforsecurity=False).digest()) if held else None
-                        out.add(record(page_id, url, data, refers, date))
+                        out.add(record(page_id, url, data, held.get(hashlib.sha1(data, usedforsecurity=False).digest()) if held else None, date))
         out.close()
         names = ["file", "bytes", "records", "sha256"]
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in out.made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names)
@@ -183,8 +215,11 @@ def read_archive(spark, root: str) -> DataFrame:
             for name, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, size, n = [], 0, 0
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
-                    for raw in members(f):
-                        rows.append(parse(raw))
+                    for raw in (r for m in members(f) for r in unpacked(m)):
+                        found = parse(raw)
+                        if found is None:
+                            continue
+                        rows.append(found)
                         size, n = size + len(raw), n + 1
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -201,3 +236,13 @@ def round_trip(pages: DataFrame, root: str) -> DataFrame:
     """Contract rows from the archives."""
     write_archive(pages, root)
     return read_archive(pages.sparkSession, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB SQL for the rows of ``round_trip``: five bits of the SHA-1 at a time are a letter.
+ORACLE = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS holder FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', sha[i]) - 1), 4, '0')), '') AS bits FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(bits[5 * k + 1] AS INT)
+    + 8 * CAST(bits[5 * k + 2] AS INT) + 4 * CAST(bits[5 * k + 3] AS INT) + 2 * CAST(bits[5 * k + 4] AS INT) + CAST(bits[5 * k + 5] AS INT) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN holder IS NOT NULL AND page_id IS DISTINCT FROM holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to FROM b"""
