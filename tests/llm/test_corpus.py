@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, dedup, near, passages, quality, toxicity
-from tidemark.llm.common import bounded_broadcast, connected_components
+from tidemark.llm.common import bounded_broadcast, connected_components, keyed_join, materialize
 
 from .helpers import DOCS, components, contamination, shingle_sets
 from .helpers import quality as brute_quality
@@ -109,9 +111,21 @@ def test_components(spark):
 
 
 def test_bounded_broadcast(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
     df = spark.range(100)
-    assert "broadcast" in bounded_broadcast(df, 8, 800)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in bounded_broadcast(df, 8, 799)._jdf.queryExecution().logical().toString()
+    assert hinted(bounded_broadcast(df, 2400)) and not hinted(bounded_broadcast(df, 2399))
+    long = df.select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.lit("y" * 500), F.lit(None).cast("string")).alias("a"))
+    assert hinted(bounded_broadcast(long, 200_000)) and not hinted(bounded_broadcast(long, 150_000))
+    assert hinted(bounded_broadcast(df.limit(0), 0))
+
+
+def test_keyed_join(spark):
+    big = spark.range(5000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 40).alias("key"), F.col("id").alias("x"))
+    small = big.groupBy("key").agg(F.count("*").alias("rows"), F.min("x").alias("least")).where("key <> 3")
+    want = sorted(map(tuple, big.join(small.drop("rows"), "key").collect()))
+    for limit in (0, 1 << 20):
+        got = keyed_join(big, small, "key", "rows", limit)
+        assert got.columns == ["key", "x", "least"] and sorted(map(tuple, got.collect())) == want
 
 
 def test_contamination_against_brute_force(spark):
@@ -138,6 +152,55 @@ def test_contamination_empty_sides(spark):
     assert decontam.contamination(df.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")).collect() == []
 
 
+def test_clashing_names(spark):
+    rows = [(1, "w1 w2 w3", "k"), (2, "other words", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    items = spark.createDataFrame([(9, "w2 w3")], "item_id long, text string")
+    for name in ("_w", "_of", "_found", "_met", "_doc", "found", "item_id", "words", "term", "pos", "_keep"):
+        got = decontam.contamination(df.withColumnRenamed("x", name), items, keep=("doc_id", name))
+        assert sorted((r.doc_id, r.n_hit) for r in got.collect()) == [(1, 2), (2, 0)]
+    with pytest.raises(ValueError):
+        decontam.contamination(df.withColumnRenamed("x", "n_hit"), items, keep=("doc_id", "n_hit"))
+    more = df.selectExpr("*", "1 n", "2 node", "3 sig", "4 key", "5 comp", "6 rep", "7 want", "8 bucket", "9 ratio", "'l' lang", "'s' source", "0 n_chars")
+    assert dedup.near_duplicates(more, 3, 85, 100).count() == quality.judge(more).count() == passages.passage_rows(more).count() == 2
+    assert dedup.drop_near_duplicates(more).columns == more.columns
+
+
+LONG = 120_000
+
+
+def test_very_long_texts(spark):
+    """Each operator takes a text of 120,000 words as a whole."""
+    rng = random.Random(21)
+    text = " ".join(rng.choices(WORDS, k=LONG))
+    tail = " ".join(prose(rng, 60))
+    rows = [(1, text + " " + tail), (2, text + " " + tail), (3, "short one " + tail), (4, None)]
+    docs = docs_of(spark, rows).repartition(2)
+    got = {r.doc_id: r for r in dedup.near_duplicates(docs, 3, 85, 100).collect()}
+    assert got[2].component_id == 1 and got[1].n_shingles == len(shingle_sets(rows[:1], 3)[1])
+    cut = {r.doc_id: r for r in passages.passage_rows(docs).collect()}
+    assert cut[1].n_words_removed == 0 and cut[2].n_words_removed == LONG + 60 and cut[3].text.split() == ["short", "one"]
+    item = spark.createDataFrame([(1, tail)], "item_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in decontam.contamination(docs, item).collect()} == {1: (LONG + 60, 60), 2: (LONG + 60, 60), 3: (62, 60), 4: (0, 0)}
+    base = {r.doc_id: tuple(r)[1:7] for r in quality.judge(docs).collect()}
+    assert base[1] == brute_quality(rows[0][1])
+    machine = toxicity.fit([np.array(sorted(toxicity.term_hashes(t))) for t in ["bad words"] * 5 + ["good words"] * 5], np.array([1] * 5 + [0] * 5))
+    assert {r.doc_id for r in toxicity.score(docs, machine).collect()} == {1, 2, 3, 4}
+
+
+def test_score_is_the_plain_sum():
+    """The machine's score is b + w x + the sum over all pairs, one by one."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(30)]
+    hashes = sorted({h for w in words for h in toxicity.hashes_of(w)})
+    machine = toxicity.Machine({h: i for i, h in enumerate(hashes)}, 0.3, rng.normal(size=len(hashes)), rng.normal(size=(len(hashes), 4)))
+    for _ in range(20):
+        text = " ".join(rng.choice(words, rng.integers(0, 12)).tolist() + ["unknown"])
+        at = sorted(machine.places[h] for h in toxicity.term_hashes(text) if h in machine.places)
+        total = machine.b + sum(machine.w[i] for i in at) + sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(at) for j in at[:n])
+        assert abs(machine.score([text])[0] - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-9
+
+
 def test_proximity(spark):
     df = docs_of(spark, [(1, "a x x b x c"), (2, "a x x x x x x x b c"), (3, "c b a")])
     terms = spark.createDataFrame([("a",), ("b",), ("c",)], "w string").selectExpr("xxhash64(w) term")
@@ -176,7 +239,41 @@ def test_sketches_merge(spark):
     halves = quality.sketches(table.where("doc_id < 200")).unionByName(quality.sketches(table.where("doc_id >= 200")))
     merged = quality.fences(halves).collect()
     assert len(whole) == len(merged) == 1
-    assert all(abs(a - b) <= 100 for a, b in zip(whole[0][2:], merged[0][2:], strict=True) if a is not None)
+    assert whole == merged
+
+
+def test_quality_against_sql(spark):
+    """All of it, the verdicts too; langs and sources of all sizes, nulls among them."""
+    rng, rows = random.Random(3), []
+    for i in range(900):
+        text = "\n".join(" ".join(rng.choices(WORDS, k=rng.randint(0, 40))) for _ in range(rng.randint(0, 6)))
+        if i % 11 == 0:
+            text += " #%$" * rng.randint(0, 60)
+        if i % 13 == 0:
+            text += "\n" + text
+        rows.append((i, text, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None]), 0))
+    rows += [(5, "again " * 80, "xx", "rare", 0), (None, None, None, None, None), (7, "", "en", "a", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = quality.judge(df)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = con.sql(quality.oracle())
+    assert want.columns == got.columns
+    found = got.collect()
+    assert sorted(map(tuple, found), key=str) == sorted(want.fetchall(), key=str) and 0 < sum(not r.kept and not r.base_failed for r in found) < 400
+
+
+def test_a_group_decides_on_its_own_fences(spark):
+    """One and the same text passes where texts of its kind are common, and fails where they aren't."""
+    rng, rows = random.Random(6), []
+    for i in range(600):
+        group = i % 2
+        words = rng.choices(WORDS, k=100)
+        rows.append((i, " ".join(w + "%" * (group and rng.random() < 0.3) for w in words), "en", f"s{group}", 0))
+    same = " ".join(w + "%" * (j % 4 == 0) for j, w in enumerate(rng.choices(WORDS, k=100)))
+    rows += [(1000, same, "en", "s0", 0), (1001, same, "en", "s1", 0)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert (got[1000], got[1001]) == (False, True)
 
 
 def test_fences_bind(spark):
@@ -215,6 +312,19 @@ def test_machine_learns_pairs(spark):
     assert toxicity.keep_civil(docs, machine).columns == docs.columns and toxicity.keep_civil(docs, machine).count() == sum(1 - r.predicted for r in scored)
 
 
+def test_machine_learns_a_pair_of_neutral_words():
+    """Each of the two words has the labels of all texts; together they are toxic."""
+    rng, rows, y = random.Random(17), [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.3, rng.random() < 0.3
+        insult = not a and not b and rng.random() < 0.43
+        w = rng.choices(WORDS, k=30) + ["vilest"] * insult + ["lazy"] * a + ["group"] * b
+        rows.append(np.array(sorted(toxicity.term_hashes(" ".join(w))), "i4"))
+        y.append(int(insult or (a and b)))
+    machine = toxicity.fit(rows, np.array(y))
+    assert [s >= 0.3 for s in machine.score(["w1 lazy w2", "w3 group w4", "w5 lazy group", "vilest w9"])] == [False, False, True, True]
+
+
 def test_training_sees_no_held_out_row(spark):
     rows = labelled(400, 2)
     docs = docs_of(spark, [r[:2] for r in rows])
@@ -294,6 +404,43 @@ def test_whole_passages_go(spark):
     assert got == want
 
 
+def test_rows_of_one_id_are_cut_at_their_own_places(spark):
+    rng = random.Random(11)
+    first, second = prose(rng, 60), prose(rng, 70)
+    a, b, c = prose(rng, 30), prose(rng, 200), prose(rng, 45)
+    rows = [(1, " ".join(first)), (2, " ".join(second)), (9, " ".join(a + first)), (9, " ".join(second + b)), (9, " ".join(c)), (9, " ".join(a + first))]
+    got = sorted((r.doc_id, r.text.strip()) for r in passages.passage_rows(docs_of(spark, rows)).collect())
+    assert got == sorted([rows[0], rows[1], (9, " ".join(a)), (9, " ".join(b)), (9, " ".join(c)), (9, " ".join(a))])
+
+
+def jaccard_components(rows, k, num, den, min_words):
+    """Paragraphs (doc, line) -> the first of their component, over all pairs."""
+    lines = {}
+    for i, t in rows:
+        for n, line in enumerate((t or "").split("\n")):
+            w = line.lower().split()
+            if len(w) >= min_words:
+                lines[i, n] = {tuple(w[x : x + k]) for x in range(len(w) - k + 1)}
+    return components(lines, num, den)
+
+
+def test_paragraphs_against_all_pairs(spark):
+    """What the paragraph search alone removes is what all pairs give."""
+    rng, rows = random.Random(13), []
+    bases = [prose(rng, rng.randint(20, 90)) for _ in range(25)]
+    for i in range(120):
+        lines = [" ".join(prose(rng, rng.randint(1, 40))) for _ in range(rng.randint(0, 3))]
+        for base in rng.sample(bases, rng.randint(0, 2)):
+            lines.insert(rng.randint(0, len(lines)), edited(rng, base, rng.randint(0, max(1, len(base) // 14))))
+        rows.append((i, "\n".join(lines)))
+    want = {place for place, first in jaccard_components(rows, 5, 80, 100, 20).items() if place != first}
+    docs = docs_of(spark, rows)
+    bands, each = near.plan(0.8, 1e-6)
+    units = materialize(passages._units(docs, 5, bands * each, 20, 6), "units")
+    got = {(r.doc_id, r.line) for r in passages._paragraph_copies(docs, units, 5, 80, 100, bands, each).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_near_paragraphs(spark):
     rng = random.Random(8)
     base = prose(rng, 80)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tidemark.llm import toxicity
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, written
 
 from .helpers import components, contamination, shingle_sets
 
@@ -70,7 +70,9 @@ def test_encoding_stage(stages):
 
 
 def test_run_is_the_stages(spark, stages):
+    before = written()
     assert corpus_pipeline.run(spark, SF).count() == stages[-1].count()
+    assert len(set(written()) - set(before)) <= 8  # the last two stages' tables
 
 
 def test_queries_are_registered():

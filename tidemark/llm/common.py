@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Only where that setting is absent (plain local sessions) is a local folder made and registered.
+    Only a local session may lack the setting; a folder is made for it and registered.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -26,6 +31,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables of this driver that were not released yet, in the order they were written.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -36,9 +45,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _WRITTEN[path] = spark
     return out
 
 
+def written() -> list[str]:
+    """The tables that were not released yet."""
+    return list(_WRITTEN)
+
+
+def release_since(before: list[str], keep: DataFrame) -> None:
+    """Delete all tables written since ``before`` (a result of ``written``) but ``keep``, which no lazy plan reads."""
+    for path in set(_WRITTEN) - set(before) - {keep._stored_at}:
+        delete(_WRITTEN[path], path)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by ``materialize`` that no later plan reads."""
     for df in frames:
@@ -46,6 +67,7 @@ def release(*frames: DataFrame) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.pop(path, None)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -58,13 +80,57 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def bounded_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
-    """Hint a broadcast only if the counted rows times ``row_bytes`` stay below ``limit_bytes``.
+def _size(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return reduce(Column.__add__, (_size(value[f.name], f.dataType) for f in kind), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda s, x: s + _size(x, kind.elementType)), F.lit(0)) + 32
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 32
+    return F.lit(8)
+
+
+BROADCAST_BYTES = 32 << 20
+
 
-    Otherwise the frame is returned unchanged and Spark joins it by shuffle.  ``df`` must be cheap to
-    count (a materialised table).
+def row_bytes(df: DataFrame) -> Column:
+    return reduce(Column.__add__, (_size(F.col(f.name), f.dataType) for f in df.schema), F.lit(16)).cast("long")
+
+
+def bounded_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the rows, measured, take ``limit_bytes`` at most.
+
+    Otherwise the frame is returned unchanged and Spark joins it by shuffle.  ``df`` must be cheap to read
+    (a materialised table).
     """
-    return F.broadcast(df) if df.limit(limit_bytes // row_bytes + 1).count() * row_bytes <= limit_bytes else df
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit_bytes else df
+
+
+def keyed_join(big: DataFrame, small: DataFrame, key: str, rows: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join of ``big`` with ``small``, a materialised table with one row for each ``key`` and the number of its rows
+    in ``big`` in column ``rows`` (which the result lacks).
+
+    Small tables are broadcast.  Of others, the keys with more than a 50,000th of all rows are (50,000 at most,
+    whatever the size), so that no task gets a hot key; the rest is joined by shuffle.
+    """
+    bytes_, total = small.agg(F.sum(row_bytes(small)), F.sum(rows)).first()
+    if (bytes_ or 0) <= limit_bytes:
+        return big.join(F.broadcast(small.drop(rows)), key)
+    return hot_join(big, small, key, rows, total)
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """``keyed_join`` beyond the limit; ``total``: the rows of ``big``."""
+    most = max(total // 50_000, 256)
+    hot = F.broadcast(small.where(F.col(rows) > most).drop(rows).withColumn("_hot", F.lit(True)))
+    rest = small.where(F.col(rows) <= most).drop(rows)
+    names = [key, *(c for c in big.columns if c != key), *(c for c in rest.columns if c != key)]
+    marked = big.join(hot.select(key, "_hot"), key, "left")
+    cold = marked.where(F.col("_hot").isNull()).drop("_hot").join(rest, key)
+    return big.join(hot.drop("_hot"), key).select(names).unionByName(cold.select(names))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
@@ -80,17 +146,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """(node, comp) for every node of ``edges``; comp is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each step is one grouped minimum and
-    one equi-join, so no task holds a whole neighbourhood, and the result is a star forest.  Every step is
-    written to the shared folder.  Null nodes and self loops are ignored.
+    one equi-join, in which the minima of nodes with many neighbours are broadcast (``hot_join``), so no task
+    holds a whole neighbourhood; the result is a star forest.  Every step is written to the shared folder.
+    Null nodes and self loops are ignored.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     cur = materialize(e, "cc")
-    before = None
+    before, total = None, cur.count()
     for _ in range(rounds):
-        step = materialize(_star(_star(cur, large=True), large=False), "cc")
+        half = materialize(_star(cur, True, total), "cc")
+        step = materialize(_star(half, False, total), "cc")
         now = step.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        release(cur)
-        cur = step
+        release(cur, half)
+        cur, total = step, now[0]
         if now == before:
             break
         before = now
@@ -100,14 +168,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def _star(e: DataFrame, large: bool) -> DataFrame:
+def _star(e: DataFrame, large: bool, total: int) -> DataFrame:
     """Large star: link every larger neighbour of a node to its least neighbour; small star: the smaller ones."""
     if large:
         s = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         s = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = s.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    j = s.join(m, "u")
+    m = s.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("rows"))
+    j = hot_join(s, m, "u", "rows", 2 * total)
     if large:
         out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -37,7 +37,7 @@ def test_items(benchmark: DataFrame) -> DataFrame:
 def _tokens(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, pos, term of the corpus's words that are in ``terms`` (term: xxhash64 of the word)."""
     each = docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "word")).select("doc_id", "pos", F.xxhash64("word").alias("term"))
-    return each.join(bounded_broadcast(terms, 16), "term")
+    return each.join(bounded_broadcast(terms), "term")
 
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -80,10 +80,10 @@ def intersect(index: DataFrame, chosen: DataFrame) -> DataFrame:
     at = materialize(probe_terms(chosen).withColumn("item", F.xxhash64("item_id", "words")).select("term", "item", "place"), "probes")
     wanted = chosen.groupBy("item_id", "words").agg(F.collect_set("places").alias("sets")).withColumn("item", F.xxhash64("item_id", "words"))
     wanted = materialize(wanted, "wanted")
-    aligned = index.join(bounded_broadcast(at, 24), "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    aligned = index.join(bounded_broadcast(at), "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
     met = aligned.groupBy("doc_id", "item", "shift").agg(F.collect_set("place").alias("seen"))
     whole = F.exists("sets", lambda s: F.size(F.array_except(s, F.col("seen"))) == 0)
-    return met.join(bounded_broadcast(wanted, 4096), "item").where(whole).select("doc_id", "item_id", "words", "shift")
+    return met.join(bounded_broadcast(wanted), "item").where(whole).select("doc_id", "item_id", "words", "shift")
 
 
 def hits(words: Column, found: Column, size: int = WINDOW) -> Column:
@@ -106,23 +106,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     A word is hit if it lies inside an occurrence of a window of 13 consecutive words of an item (of the whole item
     if it is shorter); contaminated: some word is hit, and a twentieth of the words or more are.  Null and empty
     texts have no words and are clean; items without id or words take no part; rows with the same doc_id, null
-    included, are judged each by its own text; an empty table on either side gives no hits.
+    included, are judged each by its own text; an empty table on either side gives no hits.  Columns of ``keep`` may have
+    any name but those of the result.
     """
+    if clash := set(keep) & {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     items = materialize(test_items(benchmark), "items")
     counts = term_counts(docs, items)
     chosen = materialize(probes(items, counts), "windows")
     terms = materialize(probe_terms(chosen).select("term").distinct(), "terms")
     index = postings(docs, terms)
     found = intersect(index, chosen).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("found"))
-    found = bounded_broadcast(materialize(found, "candidates"), 2048).withColumnRenamed("doc_id", "of")
-    texts = docs.select(*keep, F.col("doc_id").alias("_doc"), words_of(F.col("text")).alias("_w"))
-    both = texts.join(found, F.col("_doc").eqNullSafe(F.col("of")), "left")
+    found = bounded_broadcast(materialize(found.select(F.col("doc_id").alias("_of"), F.col("found").alias("_found")), "candidates"))
+    kept = [F.col(f"_keep.`{c}`").alias(c) for c in keep]
+    texts = docs.select(F.struct(*keep).alias("_keep"), F.col("doc_id").alias("_doc"), words_of(F.col("text")).alias("_w"))
+    both = texts.join(found, F.col("_doc").eqNullSafe(F.col("_of")), "left")
     none = F.array().cast("array<struct<item_id:string,places:array<int>>>")
-    met = F.when(F.col("found").isNull(), none).otherwise(F.transform(hits(F.col("_w"), F.col("found")), lambda h: F.struct(h["item_id"].cast("string").alias("item_id"), h["places"].alias("places"))))
-    both = both.select(*keep, F.size("_w").cast("long").alias("n_words"), met.alias("_met"))
+    met = F.when(F.col("_found").isNull(), none).otherwise(F.transform(hits(F.col("_w"), F.col("_found")), lambda h: F.struct(h["item_id"].cast("string").alias("item_id"), h["places"].alias("places"))))
+    both = both.select("_keep", F.size("_w").cast("long").alias("n_words"), met.alias("_met"))
     ids = F.array_sort(F.array_distinct(F.transform("_met", lambda h: h["item_id"])))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("_met", lambda h: h["places"])))).cast("long")
-    both = both.select(*keep, "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"))
+    both = both.select(*kept, "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"))
     return both.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -144,3 +148,16 @@ def proximity(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
     near = anchor.join(other, ["query_id", "doc_id", "strip"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
     full = near.groupBy("query_id", "doc_id", "at").agg(F.countDistinct("term").alias("got")).join(need, "query_id").where("got = need")
     return full.select("query_id", "doc_id", F.col("at").alias("pos"))
+
+
+#: DuckDB SQL for the rows of ``contamination``.
+ORACLE = r"""WITH low AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT rid, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, w[k:k + least(13, len(w)) - 1] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+seen AS (SELECT rid, k, n, w[k:k + n - 1] AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT rid, item_id, k, win.n FROM seen JOIN win ON seen.n = win.n AND seen.g = win.g),
+places AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN places ON d.rid = places.rid LEFT JOIN items ON d.rid = items.rid"""

@@ -50,8 +50,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     classes = materialize(classes, "classes")
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        wanted = materialize(classes.select("node", "rep").join(bounded_broadcast(nodes, 16), "node"), "wanted")
-        small = bounded_broadcast(wanted, 24)
+        wanted = materialize(classes.select("node", "rep").join(bounded_broadcast(nodes), "node"), "wanted")
+        small = bounded_broadcast(wanted)
         found = docs.select("doc_id", "text").join(small, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
         def run(batches):
@@ -81,4 +81,19 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     """The rows of ``docs`` whose doc_id is kept, with all their columns; rows without doc_id stay."""
     judged = near_duplicates(docs, k, num, den)
     gone = judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select("doc_id")
-    return docs.join(bounded_broadcast(materialize(gone, "gone"), 16), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded_broadcast(materialize(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def oracle(k: int, num: int, den: int) -> str:
+    """DuckDB SQL for the rows of ``near_duplicates``, by all pairs of texts that share a shingle."""
+    return rf"""WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda i: hash(array_to_string(w[i:i + {k - 1}], ' ')))) AS s FROM low WHERE len(w) > 0),
+class AS (SELECT list_sort(s) AS s, min(doc_id) AS rep, len(s) AS n FROM sets GROUP BY ALL),
+member AS (SELECT rep, n, unnest(s) AS x FROM class),
+shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM member a JOIN member b ON a.x = b.x AND a.rep < b.rep AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) GROUP BY ALL),
+pair AS (SELECT a, b FROM shared JOIN class ca ON ca.rep = a JOIN class cb ON cb.rep = b WHERE {den} * c >= {num} * (ca.n + cb.n - c)),
+link AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT rep, rep AS r FROM class UNION SELECT reach.rep, link.b FROM reach JOIN link ON link.a = reach.r),
+comp AS (SELECT rep, min(r) AS component_id FROM reach GROUP BY rep),
+one AS (SELECT sets.doc_id, len(sets.s) AS n, component_id FROM sets JOIN class ON list_sort(sets.s) = class.s JOIN comp ON comp.rep = class.rep)
+SELECT low.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, low.doc_id) AS component_id, coalesce(component_id, low.doc_id) = low.doc_id AS kept FROM low LEFT JOIN one ON low.doc_id = one.doc_id"""

@@ -6,7 +6,9 @@ most bands; the links found are joined into components.  Only buckets that then
 are looked at again: members outside the bucket's main component are compared by signature with all the others,
 block by block.  Of what survives, the likeliest few to each component are verified on full sets and joined, and
 then all that still lies between components.  So every pair that shares a band and isn't connected already is
-judged, while a group of n near copies costs about n comparisons.
+judged, while a group of n near copies costs about n comparisons.  A bucket whose members are neither alike nor
+linked costs the square of its size in comparisons, made in blocks of ``BLOCK`` members; its layout has a row for each
+member and block.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_broadcast, connected_components, materialize, release
+from tidemark.llm.common import bounded_broadcast, connected_components, keyed_join, materialize, release
 
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
+BLOCK = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -218,9 +221,9 @@ class Finder:
 
     def components(self) -> DataFrame:
         """(node, comp), materialised, of all classes that are linked with another."""
-        buckets = materialize(self.banded().groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "buckets")
+        buckets = materialize(self.banded().groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo <> hi"), "buckets")
         # from here on only classes that share a bucket matter: their places and full sets are written once
-        self.members = materialize(self.banded().join(bounded_broadcast(buckets.select("key", "lo"), 24), "key"), "shared")
+        self.members = materialize(keyed_join(self.banded(), buckets.drop("hi"), "key", "rows").select("key", "node", "lo"), "shared")
         release(buckets)
         nodes = materialize(self.members.select("node").distinct(), "nodes")
         self.sets = materialize(self.fetch(nodes), "sets")
@@ -243,19 +246,19 @@ class Finder:
         release(self.members, self.sets, links)
         return comp
 
-    def _split(self, comp: DataFrame, block: int = 256) -> DataFrame:
+    def _split(self, comp: DataFrame, block: int = BLOCK) -> DataFrame:
         """Members of the buckets that hold several components, laid out for ``_held``: key, at, node, comp, query.
 
         ``query`` rows, the members outside the bucket's main component, are to be held against all other rows
         of the same (key, at).  Both sides are cut into blocks, so a task never holds more than two blocks.
         """
         members = self.members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = materialize(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "split")
-        here = materialize(members.join(bounded_broadcast(split, 16), "key").select("key", "node", "comp"), "members")
+        split = materialize(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows"), "split")
+        here = materialize(keyed_join(members, split, "key", "rows").select("key", "node", "comp"), "members")
         main = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"))
-        main = materialize(main, "main")
+        main = materialize(main.withColumn("rows", F.col("size")), "main")
         many = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
-        rows = here.join(bounded_broadcast(main, 40), "key").withColumns({"_b": many(F.col("size")), "_q": many(F.col("size") - F.col("most")), "_h": F.xxhash64("node")})
+        rows = keyed_join(here, main, "key", "rows").withColumns({"_b": many(F.col("size")), "_q": many(F.col("size") - F.col("most")), "_h": F.xxhash64("node")})
         own = F.pmod("_h", F.col("_b")) * F.lit(1 << 20)
         as_row = rows.select("key", "node", "comp", F.lit(False).alias("query"), F.explode(F.transform(F.sequence(F.lit(0), F.col("_q") - 1), lambda q: (own + q).cast("long"))).alias("at"))
         as_query = rows.where("comp <> main").select("key", "node", "comp", F.lit(True).alias("query"), F.explode(F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda b: (b * (1 << 20) + F.pmod("_h", F.col("_q"))).cast("long"))).alias("at"))
@@ -304,7 +307,9 @@ class Finder:
 
         of = self.classes.select("node", "n", "sig")
         full = laid.join(of, "node").select(names)
-        return full.repartition("key", "at").sortWithinPartitions("key", "at").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+        # the work is in the comparisons, not the bytes: so many rows a task, which isn't coalesced
+        parts = max(full.sparkSession.sparkContext.defaultParallelism, -(-laid.count() // 20_000))
+        return full.repartition(parts, "key", "at").sortWithinPartitions("key", "at").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
     def _best(self, comp: DataFrame) -> DataFrame:
         """Links of each outside member with its likeliest partner in another component of its bucket."""
@@ -350,7 +355,7 @@ class Finder:
 
         laid = self._split(comp)
         part = materialize(self._held(laid, who, ("key", "node")).distinct(), "part")
-        needed = laid.join(bounded_broadcast(part, 24), ["key", "node"]).join(self.sets, "node")
+        needed = laid.join(bounded_broadcast(part), ["key", "node"]).join(self.sets, "node")
         links = materialize(self._held(needed, exact, ("a", "b"), ("items",)).distinct(), "rest-links")
         release(laid, part)
         return links

@@ -10,7 +10,8 @@ A paragraph is a line of ``min_words`` words or more.
   smaller doc_id has too is a seed; it is extended word by word against that document to the ends of the match, and
   matches that make up ``min_words`` words or more are removed.
 
-Exact copies meet as one class, so the copies of a text are never paired.
+Exact copies meet as one class, so the copies of a text are never paired.  Whatever is found carries a hash of the text it
+was found in (``own``, and ``kept`` for the other document's), so rows that share a doc_id are each cut at their own places.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bounded_broadcast, materialize, release
+from tidemark.llm.common import bounded_broadcast, keyed_join, materialize, release
 from tidemark.llm.near import Finder, mix, node_of, plan, set_names, shingle_set, shingles, signatures, word_hashes
 from tidemark.llm.pretoken import blocks
 
@@ -83,63 +85,70 @@ def _paragraph_sets(h: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndar
     return s, np.searchsorted(of, np.arange(len(lengths)))
 
 
+def name_of(text: str | None) -> int:
+    """A signed 64-bit hash of a text."""
+    h = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _lines(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
 def _units(docs: DataFrame, k: int, m: int, min_words: int, reach: int) -> DataFrame:
     """A row per paragraph (piece null, with sig), and per piece of a document: line is its first word, n its length,
-    node its anchor and piece its hash."""
+    node its anchor and piece its hash; own names the text."""
     if min_words < k:
         raise ValueError("paragraphs must hold a shingle")
-    names = ["doc_id", "line", "piece", "n", "node", "sig"]
+    names = ["doc_id", "own", "line", "piece", "n", "node", "sig"]
 
     def run(batches):
         for batch in batches:
             for a, size in blocks(batch.column(1), 1 << 20):
                 part = batch.slice(a, size)
-                ids, totals, doc, at, lengths, flat = [], [], [], [], [], []
+                ids, owns, totals, doc, at, lengths, flat = [], [], [], [], [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     lines = _lines(text)
                     total = sum(map(len, lines))
                     if total < min_words:
                         continue
                     ids.append(i)
+                    owns.append(name_of(text))
                     totals.append(total)
                     for line, words in enumerate(lines):
-                        doc.append(i)
+                        doc.append(len(ids) - 1)
                         at.append(line)
                         lengths.append(len(words))
                         flat += words
                 if not ids:
                     continue
-                doc, at, lengths = np.array(doc), np.array(at, np.int32), np.array(lengths)
+                ids, owns, doc, at, lengths = np.array(ids), np.array(owns), np.array(doc), np.array(at, np.int32), np.array(lengths)
                 h = word_hashes().array(flat)
                 long = lengths >= min_words
                 if long.any():
                     members, starts = _paragraph_sets(h[np.repeat(long, lengths)], lengths[long], k)
                     sig, sizes = signatures(members, starts, m), np.diff(np.append(starts, len(members))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[long]), pa.array(at[long]), pa.nulls(len(sizes), pa.int64()), pa.array(sizes), pa.array(set_names(members, starts)), pa.array([r.tobytes() for r in sig], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc[long]]), pa.array(owns[doc[long]]), pa.array(at[long]), pa.nulls(len(sizes), pa.int64()), pa.array(sizes), pa.array(set_names(members, starts)), pa.array([r.tobytes() for r in sig], pa.binary())], names)
                 of = np.repeat(np.arange(len(totals)), totals)
                 begin, hashes = pieces_of(h, of, reach)
                 own = of[begin]
                 first = (np.cumsum(totals) - totals)[own]
                 n = np.diff(np.append(begin, len(h))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[own]), pa.array((begin - first).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(n), pa.array(anchors_of(h, of, begin, reach).view(np.int64)), pa.nulls(len(begin), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(owns[own]), pa.array((begin - first).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(n), pa.array(anchors_of(h, of, begin, reach).view(np.int64)), pa.nulls(len(begin), pa.binary())], names)
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, line int, piece long, n int, node long, sig binary")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, own long, line int, piece long, n int, node long, sig binary")
 
 
 def _paragraph_copies(docs: DataFrame, units: DataFrame, k: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, line of the paragraphs that are near copies of one that stays."""
+    """doc_id, own, line of the paragraphs that are near copies of one that stays."""
     lines = units.where("piece is null")
     grouped = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("rep"), F.count("*").alias("copies"), F.first("n").cast("long").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(grouped, "paragraphs")
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        wanted = classes.join(bounded_broadcast(nodes, 16), "node").select("node", F.col("rep.doc_id").alias("of"), F.col("rep.line").alias("line"))
+        wanted = classes.join(bounded_broadcast(nodes), "node").select("node", F.col("rep.doc_id").alias("of"), F.col("rep.line").alias("line"))
         per_doc = materialize(wanted.groupBy("of").agg(F.collect_list(F.struct("line", "node")).alias("want")), "wanted")
-        found = docs.select("doc_id", "text").join(bounded_broadcast(per_doc, 64), F.col("doc_id") == F.col("of")).select("want", "text")
+        found = docs.select("doc_id", "text").join(bounded_broadcast(per_doc), F.col("doc_id") == F.col("of")).select("want", "text")
 
         def run(batches):
             for batch in batches:
@@ -159,57 +168,59 @@ def _paragraph_copies(docs: DataFrame, units: DataFrame, k: int, num: int, den:
     comp = Finder(classes, fetch, num, den, bands, rows).components()
     some = classes.select("node", "rep", "copies").join(comp, "node", "left").where("copies > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
     keeper = some.groupBy("comp").agg(F.min("rep").alias("keeper"))
-    names = materialize(some.join(keeper, "comp").select("node", "keeper"), "keepers")
-    here = lines.select("doc_id", "line", "node").join(bounded_broadcast(names, 48), "node")
-    gone = materialize(here.where(F.struct("doc_id", "line") != F.col("keeper")).select("doc_id", "line").distinct(), "copies")
+    names = materialize(some.join(keeper, "comp").select("node", "keeper", "copies"), "keepers")
+    here = keyed_join(lines.select("doc_id", "own", "line", "node"), names, "node", "copies")
+    gone = materialize(here.where(F.struct("doc_id", "line") != F.col("keeper")).select("doc_id", "own", "line").distinct(), "copies")
     release(classes, comp, names)
     return gone
 
 
 def _seeds(units: DataFrame) -> DataFrame:
-    """doc_id, first, last, of, shift: chains of cuts, from one word to another, whose anchors and the pieces between them
-    document ``of``, with a smaller doc_id, has too, ``shift`` words on."""
-    pieces = units.where("piece is not null").select("doc_id", F.col("line").alias("at"), "piece", "n", "node")
-    held = F.min(F.struct("doc_id", "at", "piece"))
-    shared = materialize(pieces.groupBy("node").agg(held.alias("k"), F.max("doc_id").alias("last")).where("k.doc_id <> last").select("node", "k"), "shared")
-    again = pieces.join(bounded_broadcast(shared, 40), "node").where("doc_id <> k.doc_id")
-    again = again.select("doc_id", "at", "n", F.col("k.doc_id").alias("of"), (F.col("k.at") - F.col("at")).alias("shift"), (F.col("k.piece") == F.col("piece")).alias("same")).distinct()
+    """doc_id, own, first, last, of, kept, shift: chains of cuts, from one word to another, whose anchors and the pieces
+    between them document ``of``, with a smaller doc_id, has too, ``shift`` words on."""
+    pieces = units.where("piece is not null").select("doc_id", "own", F.col("line").alias("at"), "piece", "n", "node")
+    held = F.min(F.struct("doc_id", "own", "at", "piece"))
+    shared = pieces.groupBy("node").agg(held.alias("k"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("k.doc_id <> last")
+    shared = materialize(shared.select("node", "k", "rows"), "shared")
+    again = keyed_join(pieces, shared, "node", "rows").where("doc_id <> k.doc_id")
+    again = again.select("doc_id", "own", "at", "n", F.col("k.doc_id").alias("of"), F.col("k.own").alias("kept"), (F.col("k.at") - F.col("at")).alias("shift"), (F.col("k.piece") == F.col("piece")).alias("same")).distinct()
     # a document is bounded, so the window is
-    w = Window.partitionBy("doc_id").orderBy("at", "of", "shift", "n", "same")
-    before = F.lag(F.struct("of", "shift", (F.col("at") + F.col("n")).alias("at"), "same")).over(w)
-    on = F.col("b.same") & (F.col("b.of") == F.col("of")) & (F.col("b.shift") == F.col("shift")) & (F.col("b.at") == F.col("at"))
+    w = Window.partitionBy("doc_id", "own").orderBy("at", "of", "kept", "shift", "n", "same")
+    before = F.lag(F.struct("of", "kept", "shift", (F.col("at") + F.col("n")).alias("at"), "same")).over(w)
+    on = F.col("b.same") & (F.col("b.of") == F.col("of")) & (F.col("b.kept") == F.col("kept")) & (F.col("b.shift") == F.col("shift")) & (F.col("b.at") == F.col("at"))
     chain = again.withColumn("b", before).withColumn("new", F.when(on, 0).otherwise(1)).withColumn("chain", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return chain.groupBy("doc_id", "chain").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("of").alias("of"), F.first("shift").alias("shift")).drop("chain")
+    return chain.groupBy("doc_id", "own", "chain").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("of").alias("of"), F.first("kept").alias("kept"), F.first("shift").alias("shift")).drop("chain")
 
 
 def _around(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """of, a, b, left, right: hashes of the words of document ``of`` before its word a, as far as the anchor of the cut
+    """of, kept, a, b, left, right: hashes of the words of document ``of`` before its word a, as far as the anchor of the cut
     before, and from its word b on, as far as that of the cut behind.  A match that goes further has that anchor too."""
-    ends = seeds.select("of", (F.col("first") + F.col("shift")).alias("a"), (F.col("last") + F.col("shift")).alias("b")).distinct()
-    per_doc = materialize(ends.groupBy("of").agg(F.collect_list(F.struct("a", "b")).alias("want")), "ends")
-    found = docs.select("doc_id", "text").join(bounded_broadcast(per_doc, 128), F.col("doc_id") == F.col("of")).select("of", "want", "text")
-    names = ["of", "a", "b", "left", "right"]
+    ends = seeds.select("of", "kept", (F.col("first") + F.col("shift")).alias("a"), (F.col("last") + F.col("shift")).alias("b")).distinct()
+    per_doc = materialize(ends.groupBy("of").agg(F.collect_list(F.struct("kept", "a", "b")).alias("want")), "ends")
+    found = docs.select("doc_id", "text").join(bounded_broadcast(per_doc), F.col("doc_id") == F.col("of")).select("of", "want", "text")
+    names = ["of", "kept", "a", "b", "left", "right"]
 
     def run(batches):
         for batch in batches:
             for at, size in blocks(batch.column(2), 2 << 20):
                 rows = []
                 for of, want, text in zip(*(batch.column(c).slice(at, size).to_pylist() for c in range(3)), strict=True):
-                    h = _hashes(text)
+                    h, name = _hashes(text), name_of(text)
                     starts = np.flatnonzero(cuts(h, np.zeros(len(h), np.int64), reach))
                     low = h.astype(np.uint32)
                     for w in want:
                         a, b = w["a"], w["b"]
-                        if b < len(h):  # otherwise another row with this doc_id
+                        if w["kept"] == name:  # otherwise another row with this doc_id
                             i, j = np.searchsorted(starts, a) - 1, np.searchsorted(starts, b, "right")
                             left = max(0, starts[i] - reach) if i >= 0 else 0
                             right = starts[j] + reach + 2 if j < len(starts) else len(h)
-                            rows.append((of, a, b, low[left:a].tobytes(), low[b:right].tobytes()))
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                            rows.append((of, name, a, b, low[left:a].tobytes(), low[b:right].tobytes()))
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return found.mapInArrow(run, "of long, a int, b int, left binary, right binary")
+    # rows that are exact repeats give the same
+    return found.mapInArrow(run, "of long, kept long, a int, b int, left binary, right binary")
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -229,8 +240,7 @@ def matches(text: str, runs: list[dict], min_words: int) -> list[tuple[int, int]
     found = []
     for r in runs:
         behind = _alike(h[r["last"] :], np.frombuffer(r["right"], np.uint32))
-        if behind:  # otherwise another row with this doc_id
-            found.append((r["first"] - _alike(h[: r["first"]][::-1], np.frombuffer(r["left"], np.uint32)[::-1]), r["last"] + behind))
+        found.append((r["first"] - _alike(h[: r["first"]][::-1], np.frombuffer(r["left"], np.uint32)[::-1]), r["last"] + behind))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
@@ -266,19 +276,20 @@ def cut_text(text: str, lines: set[int], spans: list[tuple[int, int]]) -> tuple[
 
 
 def removals(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = 20, reach: int = 6, miss: float = 1e-3) -> DataFrame:
-    """doc_id, lines, runs (array of first, last, left, right, for ``matches``): what is to go; only documents with any."""
+    """doc_id, want (array of own, lines, runs): what is to go from each text, whole lines and runs (first, last, left,
+    right) for ``matches``; only documents with any."""
     bands, rows = plan(num / den, miss, 32)
     units = materialize(_units(docs, k, bands * rows, min_words, reach), "units")
     whole = _paragraph_copies(docs, units, k, num, den, bands, rows)
     seeds = materialize(_seeds(units), "seeds")
-    around = materialize(_around(docs, seeds, reach), "around")
-    both = seeds.withColumn("a", F.col("first") + F.col("shift")).withColumn("b", F.col("last") + F.col("shift")).join(bounded_broadcast(around, 512), ["of", "a", "b"])
+    around = materialize(_around(docs, seeds, reach).dropDuplicates(["of", "kept", "a", "b"]), "around")
+    both = seeds.withColumn("a", F.col("first") + F.col("shift")).withColumn("b", F.col("last") + F.col("shift")).join(bounded_broadcast(around), ["of", "kept", "a", "b"])
     run = F.struct("first", "last", "left", "right")
-    each = whole.select("doc_id", "line", F.lit(None).cast(both.select(run).schema[0].dataType).alias("run"))
-    each = each.unionByName(both.select("doc_id", F.lit(None).cast("int").alias("line"), run.alias("run")))
-    grouped = each.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_list("run").alias("runs"))
-    out = materialize(grouped, "removals")
-    release(units, seeds, around)
+    each = whole.select("doc_id", "own", "line", F.lit(None).cast(both.select(run).schema[0].dataType).alias("run"))
+    each = each.unionByName(both.select("doc_id", "own", F.lit(None).cast("int").alias("line"), run.alias("run")))
+    grouped = each.groupBy("doc_id", "own").agg(F.collect_set("line").alias("lines"), F.collect_list("run").alias("runs"))
+    out = materialize(grouped.groupBy("doc_id").agg(F.collect_list(F.struct("own", "lines", "runs")).alias("want")), "removals")
+    release(units, whole, seeds, around)
     return out
 
 
@@ -286,14 +297,14 @@ def dedup_passages(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
     """All columns of ``docs``, with the shorter ``text``, and n_words_removed, n_parts_removed.
 
     Every row stays, with an empty text if all of it was repeated.  Null and empty texts, rows without doc_id
-    and texts of fewer than ``min_words`` words stay as they are; rows with the same doc_id are cut alike
-    at the places found in any of them; an empty table stays empty.  A column n_words_removed or
-    n_parts_removed of the input is an error.
+    and texts of fewer than ``min_words`` words stay as they are; rows with the same doc_id are one document, of which
+    each text is cut at its own places; an empty table stays empty.  A column n_words_removed, n_parts_removed, _of or
+    want of the input is an error.
     """
-    if {"n_words_removed", "n_parts_removed"} & set(docs.columns):
+    if {"n_words_removed", "n_parts_removed", "_of", "want"} & set(docs.columns):
         raise ValueError("the table already has a column of the result")
     found = removals(docs, k, num, den, min_words, reach).withColumnRenamed("doc_id", "_of")
-    both = docs.join(bounded_broadcast(found, 1024), docs["doc_id"] == found["_of"], "left").drop("_of")
+    both = docs.join(bounded_broadcast(found), docs["doc_id"] == found["_of"], "left").drop("_of")
     at = docs.columns.index("text")
     schema = docs.withColumns({"n_words_removed": F.lit(0), "n_parts_removed": F.lit(0)}).schema
 
@@ -302,15 +313,16 @@ def dedup_passages(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
             for a, size in blocks(batch.column(at)):
                 part = batch.slice(a, size)
                 texts, words, parts = [], [], []
-                rows = zip(part.column(at).to_pylist(), part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)
-                for text, lines, runs in rows:
+                for text, want in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     w = p = 0
-                    if text and (lines or runs):
-                        text, w, p = cut_text(text, set(lines or ()), matches(text, runs or [], min_words))
+                    for x in want or ():
+                        if text and x["own"] == name_of(text):
+                            text, w, p = cut_text(text, set(x["lines"]), matches(text, x["runs"], min_words))
+                            break
                     texts.append(text)
                     words.append(w)
                     parts.append(p)
-                columns = list(part.columns[:-2])
+                columns = list(part.columns[:-1])
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int32()), pa.array(parts, pa.int32())], schema.names)
 

@@ -71,5 +71,9 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express on whole tables in reasonable time.
 ORACLES: dict[str, str] = {
+    "op2_warc_archive": warc.ORACLE,
+    "op4_decontamination": decontam.ORACLE,
+    "op7_near_duplicates": dedup.oracle(3, 85, 100),
     "op8_url_cascade": urlfilter.ORACLE,
+    "op9_adaptive_quality": quality.oracle(),
 }

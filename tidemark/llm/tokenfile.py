@@ -162,7 +162,8 @@ def write_tokens(docs: DataFrame, path: str, root: str, eos: int, length: int =
     """Encode ``text`` of every row, append ``eos``, write shards below ``root`` and return the manifest.
 
     Rows go by ascending doc_id (null ids first, rows with one id by their text); a null or empty text is just
-    ``eos``.  One range exchange on doc_id; each task then streams its shard.  An empty table has no shards.
+    ``eos``.  One range exchange on doc_id; each task then streams its shard.  An empty table has no shards.  Other columns
+    are not read, whatever their names.
     """
     fs, base = store(root)
     fs.create_dir(base, recursive=True)

@@ -3,7 +3,8 @@
 score(x) = sigmoid(b + sum_j w_j x_j + sum_{i<j} <v_i, v_j> x_i x_j), where x_j says whether the text has a term of
 hash j.  The linear part learns single insults, the factors pairs that matter only together, such as an
 ordinary insult with the mention of a group.  It is fitted on the driver to a bounded sample of labelled rows.
-Terms whose label counts chance explains take no part, so that the many rare terms of long texts don't add up.
+Terms whose label counts chance explains, alone and together with any other frequent term, take no part, so that the
+many rare terms of long texts don't add up.
 """
 
 from __future__ import annotations
@@ -77,15 +78,35 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def _telling(df: np.ndarray, hits: np.ndarray, share: float) -> np.ndarray:
+def _telling(df: np.ndarray, hits: np.ndarray, share: float | np.ndarray) -> np.ndarray:
     """Terms whose label counts chance doesn't explain: a likelihood ratio test at 0.5 expected errors over all terms."""
-    miss, m = df - hits, len(df)
+    miss, m = df - hits, df.size
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * (np.where(hits > 0, hits * np.log(hits / (df * share)), 0) + np.where(miss > 0, miss * np.log(miss / (df * (1 - share))), 0))
     return ratio >= 2 * np.log(max(m, 1) / 0.5)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 6, min_docs: int = 3, steps: int = 1500, cost: float = 2.0, seed: int = 7) -> Machine:
+def _paired(doc: np.ndarray, at: np.ndarray, y: np.ndarray, often: np.ndarray, df: np.ndarray, min_docs: int, most: int) -> np.ndarray:
+    """Of the ``most`` most frequent terms, those that say more together with another than either says alone.
+
+    Both words of an ordinary insult and a mention can be neutral on their own.
+    """
+    top = np.flatnonzero(often)
+    top = top[np.argsort(-df[top], kind="stable")][:most]
+    place = np.full(len(df), -1)
+    place[top] = np.arange(len(top))
+    used = place[at] >= 0
+    x = np.zeros((len(y), len(top)), np.float32)
+    x[doc[used], place[at][used]] = 1
+    both, toxic = (x.T @ x).astype(float), (x.T @ (x * y[:, None].astype(np.float32))).astype(float)
+    alone = (np.diag(toxic) + 0.5) / (np.diag(both) + 1)
+    i, j = np.triu_indices(len(top), 1)
+    n, hits, share = both[i, j], toxic[i, j], np.clip(np.maximum(alone[i], alone[j]), 1e-6, 1 - 1e-6)
+    told = (n >= min_docs) & (hits > n * share) & _telling(np.maximum(n, 1), np.minimum(hits, np.maximum(n, 1)), share)
+    return top[np.unique(np.concatenate([i[told], j[told]]))]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 6, min_docs: int = 3, pair_terms: int = 400, steps: int = 1500, cost: float = 2.0, seed: int = 7) -> Machine:
     """Fit to lists of term hashes.  Without rows, or with one class only, the score is the (smoothed) class share."""
     n = len(rows)
     y = np.asarray(labels, np.float64)
@@ -99,6 +120,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 6, min_docs:
     often = df >= min_docs
     keep = np.zeros(len(names), bool)
     keep[often] = _telling(df[often].astype(float), np.bincount(at, y[doc], len(names))[often], float(y.mean()))
+    keep[_paired(doc, at, y, often, df, min_docs, pair_terms)] = True
     if not keep.any():
         return empty
     at = at.astype(np.int32)

@@ -122,7 +122,8 @@ def build_cascade(urls: DataFrame, rules: list[Rule], lengths: list[int], univer
 
 
 def judge(pages: DataFrame, block: list[Rule], allow: list[Rule], default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule, verdict of every row; the longest fitting rule wins, ``default`` without any.
+    """page_id, host, path, rule, verdict of every row; the longest fitting rule wins, ``default`` without any.  Of fitting
+    rules of one length, that with the longer host wins.
 
     Null urls and urls without '://' have empty host and path and fit no rule.  A rule in both lists, or two
     rules of the same text, is an error.  Repeated rows are judged alike; an empty table stays empty; other
