@@ -161,7 +161,7 @@ class TokenShard:
 def write_tokens(docs: DataFrame, path: str, root: str, eos: int, length: int = 2048, batch_rows: int = 256) -> dict:
     """Encode ``text`` of every row, append ``eos``, write shards below ``root`` and return the manifest.
 
-    Rows go by ascending doc_id (null ids first, rows with one id by their text); a null or empty text is just
+    Rows go by ascending doc_id (null ids first, rows with one id by a hash of their text, then by the text); a null or empty text is just
     ``eos``.  One range exchange on doc_id; each task then streams its shard.  An empty table has no shards.  Other columns
     are not read, whatever their names.
     """
@@ -183,7 +183,9 @@ def write_tokens(docs: DataFrame, path: str, root: str, eos: int, length: int =
             made = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [made["shard"]], "n_tokens": pa.array([made["n_tokens"]], pa.int64())})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash deals out many rows of one id, such as null
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
     # one row per shard: as many as partitions, whatever the number of documents
     shards = sorted(ordered.mapInArrow(run, "shard string, n_tokens long").collect(), key=lambda r: r.shard)
     start, listed = 0, []
