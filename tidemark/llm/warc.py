@@ -157,7 +157,7 @@ class _Roller:
 
 
 def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 0, roll_bytes: int = 256 << 20, date: str = "1970-01-01T00:00:00Z") -> dict:
-    """Write a record per row, ordered by page_id (null first), then url and payload; returns the manifest.
+    """Write a record per row, ordered by page_id (null first), then payload digest and url; returns the manifest.
 
     Null html is an empty payload.  Of records with equal payloads of ``min_revisit_bytes`` or more, the rows
     with the largest page_id are responses and the others revisits; repeated rows are repeated records, and
@@ -173,26 +173,28 @@ def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 0, roll_
     holders = materialize(holders, "warc-holders")
     # narrow rows (page, payload) -> holder and its url; they travel with the pages through the one exchange of payloads
     notes = keyed_join(keyed.select("sha", "page_id"), holders, "sha", "n").where("page_id is null or page_id <> holder").distinct()
-    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", payload.alias("payload"), F.lit(None).cast("long").alias("holder")).unionByName(
-        notes.select("page_id", F.lit(0).alias("kind"), F.col("at").alias("url"), F.col("sha").alias("payload"), "holder")
+    sha = F.unhex(F.sha1(payload)).alias("sha")
+    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", payload.alias("payload"), F.lit(None).cast("long").alias("holder"), sha).unionByName(
+        notes.select("page_id", F.lit(0).alias("kind"), F.col("at").alias("url"), F.col("sha").alias("payload"), "holder", "sha")
     )
 
     def run(batches):
-        out, page, held = _Roller(root, TaskContext.get().partitionId(), roll_bytes, date), None, {}
+        out, page, held = _Roller(root, TaskContext.get().partitionId(), roll_bytes, date), None, None
         for batch in batches:
             for a, n in blocks(batch.column(3)):
-                for page_id, kind, url, data, holder in zip(*(c.to_pylist() for c in batch.slice(a, n).columns), strict=True):
-                    if page_id != page:
-                        page, held = page_id, {}
+                for page_id, kind, url, data, holder, sha in zip(*(c.to_pylist() for c in batch.slice(a, n).columns), strict=True):
+                    if (page_id, sha) != page:
+                        page, held = (page_id, sha), None
                     if kind == 0:
-                        held[data] = {"page_id": holder, "url": url}
+                        held = {"page_id": holder, "url": url}
                     else:
-                        out.add(record(page_id, url, data, held.get(hashlib.sha1(data, usedforsecurity=False).digest()) if held else None, date))
+                        out.add(record(page_id, url, data, held, date))
         out.close()
         names = ["file", "bytes", "records", "sha256"]
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in out.made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names)
 
-    ordered = rows.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "payload")
+    # the digest deals out many rows of one id, such as null, and keeps a note with the pages it is about
+    ordered = rows.repartitionByRange("page_id", "sha").sortWithinPartitions("page_id", "sha", "kind", "url")
     # a row per archive file: the manifest is bounded by bytes written / roll_bytes plus the partitions
     files = sorted(tuple(r) for r in ordered.mapInArrow(run, "file string, bytes long, records long, sha256 string").collect())
     release(holders)
