@@ -109,6 +109,15 @@ def bounded_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> Data
     return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit_bytes else df
 
 
+def blocked_join(big: DataFrame, small: DataFrame, key: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join of ``big`` with ``small``, a materialised table with a long ``key``, whose size doesn't depend on the
+    corpus.  It is broadcast in blocks of ``limit_bytes`` at most, by the key; ``big`` is read once for each block, and
+    no key is hot, as nothing is dealt out by it."""
+    blocks = -(-(small.agg(F.sum(row_bytes(small))).first()[0] or 0) // limit_bytes) or 1
+    parts = [big.join(F.broadcast(small.where(F.pmod(F.col(key), F.lit(blocks)) == i)), key) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def keyed_join(big: DataFrame, small: DataFrame, key: str, rows: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Inner join of ``big`` with ``small``, a materialised table with one row for each ``key`` and the number of its rows
     in ``big`` in column ``rows`` (which the result lacks).
@@ -153,7 +162,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     cur = materialize(e, "cc")
     before, total = None, cur.count()
-    for _ in range(rounds):
+    for _ in range(rounds if total else 0):
         half = materialize(_star(cur, True, total), "cc")
         step = materialize(_star(half, False, total), "cc")
         now = step.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -163,7 +172,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             break
         before = now
     else:
-        raise RuntimeError(f"components not stable after {rounds} rounds")
+        if total:
+            raise RuntimeError(f"components not stable after {rounds} rounds")
     # the star forest: u hangs from v, v < u
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bounded_broadcast, materialize, release
+from tidemark.llm.common import blocked_join, bounded_broadcast, materialize, release
 
 WINDOW = 13
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,7 +37,7 @@ def test_items(benchmark: DataFrame) -> DataFrame:
 def _tokens(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, pos, term of the corpus's words that are in ``terms`` (term: xxhash64 of the word)."""
     each = docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "word")).select("doc_id", "pos", F.xxhash64("word").alias("term"))
-    return each.join(bounded_broadcast(terms), "term")
+    return blocked_join(each, terms, "term")
 
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -76,26 +76,29 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def intersect(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, item_id, words, shift: where an item may begin in a document such that all probes of a window agree."""
+    """doc_id, item_id, words, shifts: where an item may begin in a document such that all probes of a window agree."""
     at = materialize(probe_terms(chosen).withColumn("item", F.xxhash64("item_id", "words")).select("term", "item", "place"), "probes")
     wanted = chosen.groupBy("item_id", "words").agg(F.collect_set("places").alias("sets")).withColumn("item", F.xxhash64("item_id", "words"))
     wanted = materialize(wanted, "wanted")
-    aligned = index.join(bounded_broadcast(at), "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    aligned = blocked_join(index, at, "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
     met = aligned.groupBy("doc_id", "item", "shift").agg(F.collect_set("place").alias("seen"))
     whole = F.exists("sets", lambda s: F.size(F.array_except(s, F.col("seen"))) == 0)
-    return met.join(bounded_broadcast(wanted), "item").where(whole).select("doc_id", "item_id", "words", "shift")
+    return blocked_join(met, wanted, "item").where(whole).groupBy("doc_id", "item_id", "words").agg(F.collect_list("shift").alias("shifts"))
 
 
 def hits(words: Column, found: Column, size: int = WINDOW) -> Column:
     """For each candidate of ``found``: its item_id and the places of ``words`` inside an occurrence of a window."""
 
     def one(c: Column) -> Column:
-        item, shift = c["words"], c["shift"]
+        item = c["words"]
         n = F.least(F.lit(size), F.size(item))
-        here = lambda k: (shift + k >= 0) & (shift + k + n <= F.size(words)) & (F.slice(words, F.greatest(shift + k, F.lit(0)) + 1, n) == F.slice(item, k + 1, n))
-        starts = F.filter(F.sequence(F.lit(0), F.size(item) - n), here)
-        places = F.array_distinct(F.flatten(F.transform(starts, lambda k: F.sequence(shift + k, shift + k + n - 1))))
-        return F.struct(c["item_id"].alias("item_id"), places.alias("places"))
+
+        def at(shift: Column) -> Column:
+            here = lambda k: (shift + k >= 0) & (shift + k + n <= F.size(words)) & (F.slice(words, F.greatest(shift + k, F.lit(0)) + 1, n) == F.slice(item, k + 1, n))
+            starts = F.filter(F.sequence(F.lit(0), F.size(item) - n), here)
+            return F.flatten(F.transform(starts, lambda k: F.sequence(shift + k, shift + k + n - 1)))
+
+        return F.struct(c["item_id"].alias("item_id"), F.array_distinct(F.flatten(F.transform(c["shifts"], at))).alias("places"))
 
     return F.filter(F.transform(found, one), lambda h: F.size(h["places"]) > 0)
 
@@ -116,7 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     chosen = materialize(probes(items, counts), "windows")
     terms = materialize(probe_terms(chosen).select("term").distinct(), "terms")
     index = postings(docs, terms)
-    found = intersect(index, chosen).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("found"))
+    found = intersect(index, chosen).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("found"))
     found = bounded_broadcast(materialize(found.select(F.col("doc_id").alias("_of"), F.col("found").alias("_found")), "candidates"))
     kept = [F.col(f"_keep.`{c}`").alias(c) for c in keep]
     texts = docs.select(F.struct(*keep).alias("_keep"), F.col("doc_id").alias("_doc"), words_of(F.col("text")).alias("_w"))
