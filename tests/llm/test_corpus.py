@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, dedup, near, passages, quality, toxicity
-from tidemark.llm.common import bounded_broadcast, connected_components, keyed_join, materialize
+from tidemark.llm.common import blocked_join, bounded_broadcast, connected_components, keyed_join, materialize
 
 from .helpers import DOCS, components, contamination, shingle_sets
 from .helpers import quality as brute_quality
@@ -123,6 +123,9 @@ def test_keyed_join(spark):
     big = spark.range(5000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 40).alias("key"), F.col("id").alias("x"))
     small = big.groupBy("key").agg(F.count("*").alias("rows"), F.min("x").alias("least")).where("key <> 3")
     want = sorted(map(tuple, big.join(small.drop("rows"), "key").collect()))
+    for limit in (100, 1 << 20):
+        got = blocked_join(big, small.drop("rows"), "key", limit)
+        assert sorted(map(tuple, got.select("key", "x", "least").collect())) == want
     for limit in (0, 1 << 20):
         got = keyed_join(big, small, "key", "rows", limit)
         assert got.columns == ["key", "x", "least"] and sorted(map(tuple, got.collect())) == want
@@ -156,9 +159,9 @@ def test_clashing_names(spark):
     rows = [(1, "w1 w2 w3", "k"), (2, "other words", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, x string")
     items = spark.createDataFrame([(9, "w2 w3")], "item_id long, text string")
-    for name in ("_w", "_of", "_found", "_met", "_doc", "found", "item_id", "words", "term", "pos", "_keep"):
-        got = decontam.contamination(df.withColumnRenamed("x", name), items, keep=("doc_id", name))
-        assert sorted((r.doc_id, r.n_hit) for r in got.collect()) == [(1, 2), (2, 0)]
+    names = ("_w", "_of", "_found", "_met", "_doc", "found", "item_id", "words", "term", "pos", "_keep")
+    got = decontam.contamination(df.selectExpr("*", *(f"'{n}' AS {n}" for n in names)), items, keep=("doc_id", *names)).collect()
+    assert sorted((r.doc_id, r.n_hit) for r in got) == [(1, 2), (2, 0)] and all(r[n] == n for r in got for n in names)
     with pytest.raises(ValueError):
         decontam.contamination(df.withColumnRenamed("x", "n_hit"), items, keep=("doc_id", "n_hit"))
     more = df.selectExpr("*", "1 n", "2 node", "3 sig", "4 key", "5 comp", "6 rep", "7 want", "8 bucket", "9 ratio", "'l' lang", "'s' source", "0 n_chars")

@@ -233,7 +233,11 @@ class Finder:
         links = self._judge(star.select(F.col("lo").alias("a"), F.col("node").alias("b")), "star")
         comp = materialize(connected_components(links), "comp")
         for mode in ("best", "best", "all"):
-            more = self._best(comp) if mode == "best" else self._all(comp)
+            laid = self._split(comp)
+            if laid is None:  # every bucket is in one component
+                break
+            more = self._best(laid) if mode == "best" else self._all(laid)
+            release(laid)
             found = not more.isEmpty()
             if found:
                 both = materialize(links.unionByName(more), "links")
@@ -246,14 +250,18 @@ class Finder:
         release(self.members, self.sets, links)
         return comp
 
-    def _split(self, comp: DataFrame, block: int = BLOCK) -> DataFrame:
-        """Members of the buckets that hold several components, laid out for ``_held``: key, at, node, comp, query.
+    def _split(self, comp: DataFrame, block: int = BLOCK) -> DataFrame | None:
+        """Members of the buckets that hold several components, laid out for ``_held``: key, at, node, comp, query; None
+        if there is no such bucket.
 
         ``query`` rows, the members outside the bucket's main component, are to be held against all other rows
         of the same (key, at).  Both sides are cut into blocks, so a task never holds more than two blocks.
         """
         members = self.members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         split = materialize(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows"), "split")
+        if split.isEmpty():
+            release(split)
+            return None
         here = materialize(keyed_join(members, split, "key", "rows").select("key", "node", "comp"), "members")
         main = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"))
         main = materialize(main.withColumn("rows", F.col("size")), "main")
@@ -311,19 +319,16 @@ class Finder:
         parts = max(full.sparkSession.sparkContext.defaultParallelism, -(-laid.count() // 20_000))
         return full.repartition(parts, "key", "at").sortWithinPartitions("key", "at").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
-    def _best(self, comp: DataFrame) -> DataFrame:
+    def _best(self, laid: DataFrame) -> DataFrame:
         """Links of each outside member with its likeliest partner in another component of its bucket."""
 
         def work(g, i, at):
             j = at[np.argmax((g["sig"][at] == g["sig"][i]).sum(1))]
             return [sorted((g["node"][i], g["node"][j]))]
 
-        laid = self._split(comp)
-        links = self._verify(self._held(laid, work, ("a", "b")).distinct(), "best")
-        release(laid)
-        return links
+        return self._verify(self._held(laid, work, ("a", "b")).distinct(), "best")
 
-    def _all(self, comp: DataFrame) -> DataFrame:
+    def _all(self, laid: DataFrame) -> DataFrame:
         """All links between components that are left: full sets are compared where a pair meets first, and a member
         stops at its first link with a component."""
         num, den, bands, rows = self.num, self.den, self.bands, self.rows
@@ -353,10 +358,9 @@ class Finder:
                         found.append(sorted((g["node"][i], g["node"][j])))
             return found
 
-        laid = self._split(comp)
         part = materialize(self._held(laid, who, ("key", "node")).distinct(), "part")
         needed = laid.join(bounded_broadcast(part), ["key", "node"]).join(self.sets, "node")
         links = materialize(self._held(needed, exact, ("a", "b"), ("items",)).distinct(), "rest-links")
-        release(laid, part)
+        release(part)
         return links
 
