@@ -91,10 +91,11 @@ def test_signatures_estimate_similarity():
     assert near.node_of(a) == near.node_of(a[::-1].copy()) != near.node_of(b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, few):
     rng = random.Random(1)
-    edges = [(i, i + 1) for i in range(0, 200)] + [(1000 + rng.randint(0, 50), 1000 + rng.randint(0, 50)) for _ in range(40)] + [(None, 1), (7, 7)]
-    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges = [(i, i + 1) for i in range(0, 40)] + [(2000, 2000 + i) for i in range(1, 600)] + [(1000 + rng.randint(0, 50), 1000 + rng.randint(0, 50)) for _ in range(40)] + [(None, 1), (7, 7)]
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     parent = {}
 
     def root(x):

@@ -151,43 +151,55 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+#: Edges of two longs that one task may hold: as many are joined without splitting hubs.
+FEW_EDGES = 1 << 20
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, comp) for every node of ``edges``; comp is the smallest node reachable.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014): each step is one grouped minimum and
-    one equi-join, in which the minima of nodes with many neighbours are broadcast (``hot_join``), so no task
-    holds a whole neighbourhood; the result is a star forest.  Every step is written to the shared folder.
-    Null nodes and self loops are ignored.
+    Alternates large-star and small-star steps (Kiveris et al., 2014): each step is one minimum per node, joined to
+    the edges; the result is a star forest.  Every round is written to the shared folder.  Beyond ``few`` edges the
+    minima are written too, and those of nodes with many neighbours broadcast (``keyed_join``), so that no task
+    holds more than that of one neighbourhood.  Null nodes and self loops are ignored.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     cur = materialize(e, "cc")
     before, total = None, cur.count()
-    for _ in range(rounds if total else 0):
-        half = materialize(_star(cur, True, total), "cc")
-        step = materialize(_star(half, False, total), "cc")
+    for _ in range(rounds):
+        if not total:
+            break
+        minima: list[DataFrame] = []
+        half = _star(cur, True, minima if total > few else None)
+        step = materialize(_star(half, False, minima if total > few else None).distinct(), "cc")
         now = step.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        release(cur, half)
+        release(cur, *minima)
         cur, total = step, now[0]
         if now == before:
             break
         before = now
     else:
-        if total:
-            raise RuntimeError(f"components not stable after {rounds} rounds")
+        raise RuntimeError(f"components not stable after {rounds} rounds")
     # the star forest: u hangs from v, v < u
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def _star(e: DataFrame, large: bool, total: int) -> DataFrame:
-    """Large star: link every larger neighbour of a node to its least neighbour; small star: the smaller ones."""
+def _star(e: DataFrame, large: bool, minima: list[DataFrame] | None) -> DataFrame:
+    """Large star: link every larger neighbour of a node to its least neighbour; small star: the smaller ones.  With
+    ``minima`` these are written (and added to the list), and hubs are split."""
     if large:
         s = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         s = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     m = s.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("rows"))
-    j = hot_join(s, m, "u", "rows", 2 * total)
+    if minima is None:
+        j = s.join(m.drop("rows"), "u")
+    else:
+        m = materialize(m, "cc-least")
+        minima.append(m)
+        j = keyed_join(s, m, "u", "rows")
     if large:
         out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
