@@ -74,10 +74,11 @@ def rfc3339_nanos(ns: Column) -> Column:
     return F.concat(F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss"), F.when(rest > 0, F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z"))
 
 
-def format_bytes(b: Column) -> Column:
-    """1024-based, one decimal rounded half to even; below 1024 the count itself."""
+def format_bytes(b: Column, units: str = "KMGTPE") -> Column:
+    """1024-based, one decimal rounded half to even; below 1024 the count itself.  Beyond the last of ``units`` its number
+    goes on growing."""
     out = F.concat(b.cast("string"), F.lit(" B"))
-    for i, unit in enumerate("KMGTPE", 1):
+    for i, unit in enumerate(units, 1):
         scaled = F.bround(b.cast("double") / float(1 << (10 * i)), 1)
         out = F.when(b >= (1 << (10 * i)), F.concat(F.format_string("%.1f", scaled), F.lit(f" {unit}B"))).otherwise(out)
     return out
