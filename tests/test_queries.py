@@ -67,7 +67,7 @@ def test_every_log_is_pruned(spark):
     assert sorted((str(r.user_id), r.seg_base) for r in got) == [("1", 10), ("1", 11), ("2", 20), ("2", 21), ("None", 40)]
 
 
-@pytest.mark.parametrize("name", ["format_units_of_all"])
+@pytest.mark.parametrize("name", ["format_units_of_all", "format_units"])
 def test_sizes_beyond_a_petabyte_agree_with_sql(spark, tmp_path, name):
     path = tmp_path / "events.parquet"
     spark.createDataFrame([(i,) for i in (0, 2, 954_036, 954_038, 5_999_998)], "event_id long").write.parquet(str(path))
