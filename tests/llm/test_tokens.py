@@ -92,6 +92,14 @@ def test_memo_is_bounded():
     assert len(memo) == 5
 
 
+def test_memo_encodes_nothing_again_that_it_holds():
+    asked: list[str] = []
+    memo = PieceMemo(lambda ps: asked.extend(ps) or [p.encode() for p in ps], most=3)
+    for words in (["a", "b"], ["b", "c", "d"], ["b", "c", "d"]):
+        memo.learn([words])
+    assert sorted(asked) == ["a", "b", "c", "d"] and sorted(memo) == ["b", "c", "d"]
+
+
 def test_blocks_cover_all_rows():
     column = pa.array(["x" * n for n in (10, 0, 100, 1, 1, 1)] + [None])
     for most in (1, 5, 50, 10_000):

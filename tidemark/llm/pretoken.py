@@ -35,7 +35,7 @@ def split_special(text: str, special: re.Pattern | None) -> list[str]:
 
 
 class PieceMemo(dict):
-    """piece -> packed ids.  Emptied when it holds ``most`` pieces, so its memory stays bounded."""
+    """piece -> packed ids.  At ``most`` pieces all go that the lists at hand don't need, so its memory stays bounded."""
 
     def __init__(self, encode_many, most: int = 600_000):
         super().__init__()
@@ -46,8 +46,9 @@ class PieceMemo(dict):
         pieces = set().union(*lists)
         new = pieces.difference(self)
         if len(self) + len(new) > self.most:
+            kept = {p: self[p] for p in pieces - new}
             self.clear()
-            new = pieces
+            self.update(kept)
         if new:
             new = list(new)
             self.update(zip(new, self.encode_many(new), strict=True))

@@ -50,7 +50,7 @@ class Encoder:
         self.opens = np.zeros(self.size, bool)  # tokens that begin with a space
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[i] = token.startswith("Ġ")
-        self.memo = PieceMemo(self._pieces, most=300_000)
+        self.memo = PieceMemo(self._pieces, most=700_000)  # about 150 MB
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece.  " word" pieces are given to the library in runs: it splits them at the same spaces."""
