@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -397,6 +398,24 @@ def test_passages_on_short_lines(spark):
     assert [got[i].n_words_removed for i in (100, 101, 102, 103)] == [0, 90, 0, 0] and got[101].text == "" and not got[101].kept
 
 
+def test_passages_by_shuffle(spark, monkeypatch):
+    """Without broadcasts the same is cut, and only texts with something to cut are exchanged."""
+    rng = random.Random(15)
+    shared = [prose(rng, 60) for _ in range(3)]
+    rows = [(i, " ".join([*prose(rng, 50), *(rng.choice(shared) if i % 3 else []), *prose(rng, 50)])) for i in range(40)]
+    rows += [(None, rows[1][1]), (None, None), (90, ""), (91, rows[4][1]), (7, "one " * 30)]
+    docs = docs_of(spark, rows)
+    want = sorted(map(str, passages.dedup_passages(docs).collect()))
+    assert sum("n_words_removed=0" not in r for r in want) > 20
+    found = materialize(passages.removals(docs).withColumnRenamed("doc_id", "_of"), "found")
+    ways = [sorted(map(str, passages._with_removals(docs, found, limit).collect())) for limit in (1 << 20, 24 * len(rows), 0)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == len(rows)
+    monkeypatch.setattr(passages, "keyed_join", partial(keyed_join, limit_bytes=0))
+    monkeypatch.setattr(passages, "bounded_broadcast", partial(bounded_broadcast, limit_bytes=0))
+    monkeypatch.setattr(passages, "_with_removals", partial(passages._with_removals, limit_bytes=24 * len(rows)))
+    assert sorted(map(str, passages.dedup_passages(docs).collect())) == want
+
+
 def test_whole_passages_go(spark):
     """Passages in the middle of different lines go to their very ends, the words around them stay."""
     rng, rows, want = random.Random(10), [], {}

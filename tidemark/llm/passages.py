@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bounded_broadcast, keyed_join, materialize, release
+from tidemark.llm.common import BROADCAST_BYTES, bounded_broadcast, keyed_join, materialize, release, row_bytes
 from tidemark.llm.near import Finder, mix, node_of, plan, set_names, shingle_set, shingles, signatures, word_hashes
 from tidemark.llm.pretoken import blocks
 
@@ -77,8 +77,9 @@ def _paragraph_sets(h: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndar
     line = np.repeat(np.arange(len(lengths)), lengths)
     inside = line[: len(all_of)] == line[k - 1 :]
     s, of = all_of[inside], line[: len(all_of)][inside]
-    order = np.lexsort((s, of))
-    s, of = s[order], of[order]
+    ends = np.cumsum(lengths - k + 1)
+    for a, b in zip((ends - lengths + k - 1).tolist(), ends.tolist(), strict=True):
+        s[a:b].sort()
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
     s, of = s[new], of[new]
@@ -176,20 +177,26 @@ def _paragraph_copies(docs: DataFrame, units: DataFrame, k: int, num: int, den:
 
 
 def _seeds(units: DataFrame) -> DataFrame:
-    """doc_id, own, first, last, of, kept, shift: chains of cuts, from one word to another, whose anchors and the pieces
+    """doc_id, own, first, last, of, kept, shift, materialised: chains of cuts, from one word to another, whose anchors and the pieces
     between them document ``of``, with a smaller doc_id, has too, ``shift`` words on."""
     pieces = units.where("piece is not null").select("doc_id", "own", F.col("line").alias("at"), "piece", "n", "node")
-    held = F.min(F.struct("doc_id", "own", "at", "piece"))
-    shared = pieces.groupBy("node").agg(held.alias("k"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("k.doc_id <> last")
-    shared = materialize(shared.select("node", "k", "rows"), "shared")
-    again = keyed_join(pieces, shared, "node", "rows").where("doc_id <> k.doc_id")
+    # most anchors stand in one document: only the ids of all pieces are exchanged, the rest of those that are shared
+    ids = pieces.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows"))
+    shared = materialize(ids.where("lo <> hi").select("node", "rows"), "shared")
+    pieces = materialize(keyed_join(pieces, shared, "node", "rows"), "pieces")
+    held = pieces.groupBy("node").agg(F.min(F.struct("doc_id", "own", "at", "piece")).alias("k"), F.count("*").alias("rows"))
+    held = materialize(held, "held")
+    again = keyed_join(pieces, held, "node", "rows").where("doc_id <> k.doc_id")
     again = again.select("doc_id", "own", "at", "n", F.col("k.doc_id").alias("of"), F.col("k.own").alias("kept"), (F.col("k.at") - F.col("at")).alias("shift"), (F.col("k.piece") == F.col("piece")).alias("same")).distinct()
     # a document is bounded, so the window is
     w = Window.partitionBy("doc_id", "own").orderBy("at", "of", "kept", "shift", "n", "same")
     before = F.lag(F.struct("of", "kept", "shift", (F.col("at") + F.col("n")).alias("at"), "same")).over(w)
     on = F.col("b.same") & (F.col("b.of") == F.col("of")) & (F.col("b.kept") == F.col("kept")) & (F.col("b.shift") == F.col("shift")) & (F.col("b.at") == F.col("at"))
     chain = again.withColumn("b", before).withColumn("new", F.when(on, 0).otherwise(1)).withColumn("chain", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return chain.groupBy("doc_id", "own", "chain").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("of").alias("of"), F.first("kept").alias("kept"), F.first("shift").alias("shift")).drop("chain")
+    chain = chain.groupBy("doc_id", "own", "chain").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("of").alias("of"), F.first("kept").alias("kept"), F.first("shift").alias("shift"))
+    seeds = materialize(chain.drop("chain"), "seeds")
+    release(shared, pieces, held)
+    return seeds
 
 
 def _around(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
@@ -281,7 +288,7 @@ def removals(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_wor
     bands, rows = plan(num / den, miss, 32)
     units = materialize(_units(docs, k, bands * rows, min_words, reach), "units")
     whole = _paragraph_copies(docs, units, k, num, den, bands, rows)
-    seeds = materialize(_seeds(units), "seeds")
+    seeds = _seeds(units)
     around = materialize(_around(docs, seeds, reach).dropDuplicates(["of", "kept", "a", "b"]), "around")
     both = seeds.withColumn("a", F.col("first") + F.col("shift")).withColumn("b", F.col("last") + F.col("shift")).join(bounded_broadcast(around), ["of", "kept", "a", "b"])
     run = F.struct("first", "last", "left", "right")
@@ -293,6 +300,21 @@ def removals(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_wor
     return out
 
 
+def _with_removals(docs: DataFrame, found: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` with want, null where ``found`` (materialised; _of, want) has nothing for a document.
+
+    What is too large to be broadcast is joined by shuffle, but the texts that nothing is cut from stay where they are, as
+    long as the ids of the others can be broadcast."""
+    size, rows = found.agg(F.sum(row_bytes(found)), F.count("*")).first()
+    of = docs["doc_id"] == found["_of"]
+    if (size or 0) <= limit_bytes or rows * 24 > limit_bytes:
+        return docs.join(F.broadcast(found) if (size or 0) <= limit_bytes else found, of, "left").drop("_of")
+    ids = F.broadcast(found.select(F.col("_of").alias("_id")))
+    whole = docs.join(ids, docs["doc_id"] == ids["_id"], "left_anti").withColumn("want", F.lit(None).cast(found.schema["want"].dataType))
+    cut = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").join(found, of).drop("_of")
+    return whole.unionByName(cut)
+
+
 def dedup_passages(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, min_words: int = 20, reach: int = 6) -> DataFrame:
     """All columns of ``docs``, with the shorter ``text``, and n_words_removed, n_parts_removed.
 
@@ -304,7 +326,7 @@ def dedup_passages(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
     if {"n_words_removed", "n_parts_removed", "_of", "want"} & set(docs.columns):
         raise ValueError("the table already has a column of the result")
     found = removals(docs, k, num, den, min_words, reach).withColumnRenamed("doc_id", "_of")
-    both = docs.join(bounded_broadcast(found), docs["doc_id"] == found["_of"], "left").drop("_of")
+    both = _with_removals(docs, found)
     at = docs.columns.index("text")
     schema = docs.withColumns({"n_words_removed": F.lit(0), "n_parts_removed": F.lit(0)}).schema
 
