@@ -340,6 +340,21 @@ def test_training_sees_no_held_out_row(spark):
     assert len(toxicity.training_rows(docs, labels, 50, toxicity.crc_holdout())[0]) == 50
 
 
+def test_training_stays_off_the_driver(spark, monkeypatch):
+    rows = labelled(400, 2)
+    docs = docs_of(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    want = toxicity.fit(*toxicity.training_rows(docs, labels, 12_000, toxicity.crc_holdout()))
+
+    def collected(*_):
+        raise AssertionError("the sample was collected")
+
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(type(docs), name, collected)
+    machine = toxicity.train(docs, labels)
+    assert machine.places == want.places and machine.b == pytest.approx(want.b) and np.allclose(machine.v, want.v)
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, [(1, "a"), (None, None), (2, "")])
     none = spark.createDataFrame([], "doc_id long, toxic int")

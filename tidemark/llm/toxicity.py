@@ -2,13 +2,14 @@
 
 score(x) = sigmoid(b + sum_j w_j x_j + sum_{i<j} <v_i, v_j> x_i x_j), where x_j says whether the text has a term of
 hash j.  The linear part learns single insults, the factors pairs that matter only together, such as an
-ordinary insult with the mention of a group.  It is fitted on the driver to a bounded sample of labelled rows.
+ordinary insult with the mention of a group.  It is fitted in one task to a bounded sample of labelled rows.
 Terms whose label counts chance explains, alone and together with any other frequent term, take no part, so that the
 many rare terms of long texts don't add up.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import give_back
 from tidemark.llm.pretoken import blocks
 
 _TERM = re.compile(r"\w+")
@@ -146,14 +148,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 6, min_docs:
     return Machine({int(t): i for i, t in enumerate(names)}, float(x[0]), x[1 : m + 1].copy(), x[m + 1 :].reshape(m, factors).copy())
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, holdout: F.Column):
-    """(hashes, labels) of at most ``max_rows`` labelled documents outside ``holdout``, the first by a hash of doc_id.
+def _sample(docs: DataFrame, labels: DataFrame, max_rows: int, holdout: F.Column) -> DataFrame:
+    """doc_id, toxic_label, terms (hashes) of at most ``max_rows`` labelled documents outside ``holdout``, the first by a hash
+    of doc_id.
 
     The chosen ids, at most ``max_rows``, are broadcast, so the documents are not exchanged.
     """
     chosen = labels.select("doc_id", F.col("toxic").alias("toxic_label")).where("toxic_label is not null and doc_id is not null").where(~holdout)
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic_label").alias("toxic_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    ids = docs.sparkSession.createDataFrame(chosen.toPandas(), "doc_id long, toxic_label int")
+    ids = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic_label").cast("int").alias("toxic_label"))
 
     def run(batches):
         for batch in batches:
@@ -164,7 +167,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, holdout: F.
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(hashes)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], ["doc_id", "toxic_label", "terms"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, toxic_label int, terms array<int>").toArrow()
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, toxic_label int, terms array<int>")
+
+
+def _lists(got: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hashes, labels) of the rows of ``_sample``, by doc_id."""
     got = got.sort_by([("doc_id", "ascending")])
     terms, y = got.column("terms").combine_chunks(), got.column("toxic_label").to_numpy()
     offsets = terms.offsets.to_numpy()
@@ -172,14 +179,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, holdout: F.
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], y
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, holdout: F.Column):
+    """(hashes, labels) of the rows that are learned from, collected."""
+    return _lists(_sample(docs, labels, max_rows, holdout).toArrow())
+
+
 def crc_holdout() -> F.Column:
     """Rows kept out of training: crc32 of the id as text leaves 2 when divided by 4."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine:
-    """Learn ``labels.toxic`` (null labels and ids are left out; of repeated labels of a document the largest holds)."""
-    return fit(*training_rows(docs, labels, max_rows, crc_holdout()))
+    """Learn ``labels.toxic`` (null labels and ids are left out; of repeated labels of a document the largest holds).
+
+    One task takes the sample and fits; the driver gets the machine only, as its memory is small.
+    """
+
+    def run(batches):
+        rows, y = [], np.zeros(0)
+        if got := list(batches):
+            rows, y = _lists(pa.Table.from_batches(got))
+        packed = pickle.dumps(fit(rows, y))
+        del got, rows, y
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["machine"])
+
+    made = _sample(docs, labels, max_rows, crc_holdout()).repartition(1).mapInArrow(run, "machine binary").collect()
+    return pickle.loads(made[0].machine) if made else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
