@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, dedup, near, passages, quality, toxicity
+from tidemark.llm import common, decontam, dedup, near, passages, quality, toxicity
 from tidemark.llm.common import blocked_join, bounded_broadcast, connected_components, keyed_join, materialize
 
 from .helpers import DOCS, components, contamination, shingle_sets
@@ -112,6 +112,32 @@ def test_components(spark, few):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_few_edges_take_one_job(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(common, "materialize", lambda df, name: names.append(name) or materialize(df, name))
+    chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.comp for r in connected_components(chain).collect()} == {0} and names == ["cc"]
+    # beyond ``few``, steps go on only until as many edges are left
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 199), rng.randint(0, 199)) for _ in range(3000)] + [(500, 501), (501, 502)]
+    names.clear()
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=1500).collect()}
+    assert got == {x: 500 if x >= 500 else 0 for x in {x for e in edges for x in e}} and names.count("cc") == 2
+
+
+def test_least_reachable():
+    rng = random.Random(4)
+    for n, m in [(1, 1), (2, 1), (30, 12), (60, 55), (400, 390), (3000, 2900)]:
+        ids = [rng.randint(-(1 << 62), 1 << 62) for _ in range(n)]
+        edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(m)]
+        want = {x: x for e in edges for x in e}
+        while any(want[a] != want[b] for a, b in edges):
+            for a, b in edges:
+                want[a] = want[b] = min(want[a], want[b])
+        nodes, least = common.least_reachable(*np.array(edges, np.int64).T)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == want
+
+
 def test_bounded_broadcast(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
     df = spark.range(100)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,27 +162,27 @@ def give_back() -> None:
         trim(0)
 
 
-#: Edges of two longs that one task may hold: as many are joined without splitting hubs.
+#: Edges of two longs that one task may hold: the components of as many are found in it.
 FEW_EDGES = 1 << 20
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, comp) for every node of ``edges``; comp is the smallest node reachable.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014): each step is one minimum per node, joined to
-    the edges; the result is a star forest.  Every round is written to the shared folder.  Beyond ``few`` edges the
-    minima are written too, and those of nodes with many neighbours broadcast (``keyed_join``), so that no task
-    holds more than that of one neighbourhood.  Null nodes and self loops are ignored.
+    As long as there are more than ``few`` edges, alternates large-star and small-star steps (Kiveris et al., 2014): each step
+    is one minimum per node, joined to the edges; the result is a star forest.  Every half step's minima and every round
+    are written to the shared folder, and the minima of nodes with many neighbours broadcast (``keyed_join``), so that no
+    task holds more than that of one neighbourhood.  A round keeps nodes and components, so the rest is found in one task
+    once ``few`` edges are left: a job instead of some for each round.  Null nodes and self loops are ignored.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     cur = materialize(e, "cc")
     before, total = None, cur.count()
     for _ in range(rounds):
-        if not total:
-            break
+        if total <= few:
+            return cur.coalesce(1).mapInArrow(_least_of_all, "node long, comp long")
         minima: list[DataFrame] = []
-        half = _star(cur, True, minima if total > few else None)
-        step = materialize(_star(half, False, minima if total > few else None).distinct(), "cc")
+        step = materialize(_star(_star(cur, True, minima), False, minima).distinct(), "cc")
         now = step.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         release(cur, *minima)
         cur, total = step, now[0]
@@ -194,22 +195,44 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def _star(e: DataFrame, large: bool, minima: list[DataFrame] | None) -> DataFrame:
-    """Large star: link every larger neighbour of a node to its least neighbour; small star: the smaller ones.  With
-    ``minima`` these are written (and added to the list), and hubs are split."""
+def _star(e: DataFrame, large: bool, minima: list[DataFrame]) -> DataFrame:
+    """Large star: link every larger neighbour of a node to its least neighbour; small star: the smaller ones.  The
+    least neighbours are written, and added to ``minima``."""
     if large:
         s = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         s = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = s.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("rows"))
-    if minima is None:
-        j = s.join(m.drop("rows"), "u")
-    else:
-        m = materialize(m, "cc-least")
-        minima.append(m)
-        j = keyed_join(s, m, "u", "rows")
+    m = materialize(s.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("rows")), "cc-least")
+    minima.append(m)
+    j = keyed_join(s, m, "u", "rows")
     if large:
         out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
     return out.where("u <> v")
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges from ``u`` to ``v``, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    at = at.reshape(2, -1)
+    up = np.arange(len(nodes))
+    while True:
+        # every tree that has a smaller neighbour hangs from the smallest; two rounds leave half of the trees at most
+        x, y = up[at]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[up]
+        at = at[:, apart]
+        np.minimum.at(up, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def _least_of_all(batches):
+    """``least_reachable`` of all edges (u, v) that a task has."""
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
+    if parts:
+        nodes, least = least_reachable(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for i in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(least[i : i + (1 << 16)])], ["node", "comp"])
