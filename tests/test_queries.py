@@ -60,6 +60,20 @@ def test_every_event_is_formatted(spark, name):
     assert ALL[name](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_format_units_reads_odd_and_even_events(spark):
+    assert ALL["format_units"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_units_of_null_and_negative_ids_agree_with_sql(spark, tmp_path):
+    path = tmp_path / "events.parquet"
+    spark.createDataFrame([(i,) for i in (None, -101, -100, -1, 0, 1, 2, 97, 98)], "event_id long").write.parquet(str(path))
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{path}/*.parquet'")
+    want = sorted(c.sql(SQL["format_units"]).fetchall(), key=str)
+    assert len(want) == 9 and (None, None, None, None) in want
+    assert sorted(map(tuple, ALL["format_units"](spark, str(tmp_path)).collect()), key=str) == want
+
+
 def test_every_log_is_pruned(spark):
     df = spark.createDataFrame([(u, 10 * u + i, 300) for u in (1, 2) for i in range(3)] + [(None, 40, 300), (None, 41, 300)], "user_id int, offset long, length long")
     by = ("user_id",)

@@ -92,7 +92,7 @@ def format_uptime(seconds: Column) -> Column:
     s = F.round(seconds).cast("long")
     h, m, r = F.expr("1") * F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
     full = F.format_string("%dh %02dm %02ds", h.cast("long"), m.cast("long"), r)
-    return F.when(h > 0, full).when(m > 0, F.format_string("%dm %02ds", m.cast("long"), r)).otherwise(F.format_string("%ds", r))
+    return F.when(s >= 3600, full).when(s >= 60, F.format_string("%dm %02ds", m.cast("long"), r)).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
 def progress_bar(current: Column, capacity: Column, width: int = 20) -> Column:
